@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -319,8 +320,6 @@ def _shipped(df: DataFrame, path: str):
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """docs with a column of token ids, an array<int>, empty for null texts."""
-    import pandas as pd
-
     sent, name = _shipped(docs, path)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -332,8 +331,6 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """docs with a column of the bytes that its ids stand for, none for null."""
-    import pandas as pd
-
     sent, name = _shipped(docs, path)
 
     @F.pandas_udf(T.BinaryType())

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,8 +117,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score_column(weights: np.ndarray):
     """A pandas UDF from text to the score, NaN-free."""
-    import pandas as pd
-
     @F.pandas_udf(T.DoubleType())
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(scores([x or "" for x in text], weights))

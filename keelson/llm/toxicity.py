@@ -147,18 +147,20 @@ def build(word: pd.DataFrame, pair: pd.DataFrame) -> Model | None:
 
 
 def curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a lightly ridged logistic fit by Newton's method."""
+    """Slope and offset of a logistic fit with a unit normal prior of the slope, by Newton's method."""
     if not len(evidence) or toxic.min() == toxic.max():
         return 1.0, 0.0
     scale = float(np.std(evidence)) or 1.0
     x = np.stack([evidence / scale, np.ones(len(evidence))], 1)
-    beta, ridge = np.zeros(2), np.array([0.02, 1e-4])
+    beta, ridge = np.zeros(2), np.array([1.0, 1e-3])
     for _ in range(50):
         p = sigmoid(x @ beta)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (toxic - p) - ridge * beta)
         beta += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-9:
             break
+    if beta[0] <= 0:  # the evidence says nothing
+        return 0.0, float(np.log(toxic.mean() / (1 - toxic.mean())))
     return float(beta[0] / scale), float(beta[1])
 
 

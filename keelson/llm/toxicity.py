@@ -46,6 +46,8 @@ SHARED = 0.95
 FOLD, CURVE = 8, 4000
 _HASH = 31
 _START = 1
+#: Labels of at most so many rows (16 bytes each: 64 MB) go to the documents; more of them meet in a shuffle by key.
+SENT = 1 << 22
 #: Distinct pairs that are gathered before they are passed on.
 _FLUSH = 4_000_000
 
@@ -170,6 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).alias("__key"), (F.col(label) > 0).cast("int").alias("__toxic"), F.pmod(F.xxhash64(key), F.lit(FOLD)).alias("__fold")
     )
+    if marked.count() <= SENT:
+        marked = F.broadcast(marked)
     rows = docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text")).join(marked, F.col("__doc") == F.col("__key"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

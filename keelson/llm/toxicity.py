@@ -169,12 +169,12 @@ def curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """The model counted over all labelled rows; None if a class has none."""
     spark = docs.sparkSession
-    marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(
+    labelled = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(
         F.col(key).alias("__key"), (F.col(label) > 0).cast("int").alias("__toxic"), F.pmod(F.xxhash64(key), F.lit(FOLD)).alias("__fold")
     )
-    if marked.count() <= SENT:
-        marked = F.broadcast(marked)
-    rows = docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text")).join(marked, F.col("__doc") == F.col("__key"))
+    marked = F.broadcast(labelled) if labelled.count() <= SENT else labelled
+    texts = docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text"))
+    rows = texts.join(marked, F.col("__doc") == F.col("__key"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -220,7 +220,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if model is None:
         return None
     sent = spark.sparkContext.broadcast(model)
-    some = rows.where(F.col("__fold") == 0).orderBy(F.xxhash64("__doc"), "__doc").limit(CURVE).select("__text", "__toxic")
+    # the keys are chosen among the labels, so no task gathers texts
+    chosen = F.broadcast(labelled.where(F.col("__fold") == 0).orderBy(F.xxhash64("__key"), "__key").limit(CURVE))
+    some = texts.join(chosen, F.col("__doc") == F.col("__key")).select("__text", "__toxic")
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -26,7 +26,8 @@ from keelson.llm.components import components
 
 WORDS = 3
 MOST = 2
-SEGMENTS = 8
+#: Segments for up to MANY distinct fingerprints, and for more: finer cells hold fewer pairs, but have more neighbours.
+SEGMENTS, FINE, MANY = 8, 16, 1 << 21
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -72,14 +73,18 @@ def _steps(segments: int, most: int) -> list[int]:
     return sorted(x for x in out if x >= 0)
 
 
-def links(fps: DataFrame, most: int = MOST, segments: int = SEGMENTS) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct values of fps.fp that differ in 1 to `most` bits."""
+def links(fps: DataFrame, most: int = MOST, segments: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct values of fps.fp that differ in 1 to `most` bits; most is below 8.
+
+    The segments (by default as many as suit the number of fingerprints) decide the work, not the result."""
+    if segments is None:
+        segments = SEGMENTS if fps.select("fp").distinct().count() <= MANY else FINE
     width = 64 // segments
     mask = (1 << width) - 1
     cell = sum(((F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit(mask).cast("long"))).cast("long")) * F.lit(1 << (4 * i)) for i in range(segments)), F.lit(0).cast("long"))
     nodes = fps.select("fp").distinct().withColumn("cell", cell)
-    # a packed cell plus a packed step names the neighbour alone: counts are 0 to 8, and a carry out of that range
-    # yields a nibble of 9 to 15, which no fingerprint has, or is undone by no other step
+    # a packed cell plus a packed step names the neighbour alone: difference of counts and step differ by less than 16
+    # in every segment, so the packed ones are equal only if they are equal in all
     steps = F.array(*[F.lit(x).cast("long") for x in _steps(segments, most)])
     probes = nodes.select(F.col("fp").alias("a"), F.explode(steps).alias("step"), "cell").select("a", (F.col("cell") + F.col("step")).alias("cell"), (F.col("step") == 0).alias("own"))
     found = probes.join(

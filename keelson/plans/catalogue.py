@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query and, where SQL can express it, its oracle."""
-
-    def register(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _ORACLES[name] = sql
-        return f
-
-    return register
+from keelson.plans import control, diffs, logs, writes  # noqa: F401  they register their queries
+from keelson.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)

@@ -33,9 +33,9 @@ _NONE = np.int32(2**31 - 1)
 #: Matches of more bytes merge by a heap.
 LONGEST = 512
 #: Matches whose ids a worker keeps for later batches.
-KEPT = 400_000
+KEPT = 500_000
 #: Characters of texts that are encoded together.
-GROUP = 4_000_000
+GROUP = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -157,8 +157,12 @@ class Bpe:
         self.offset = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(by_rank), np.uint8)
         self.cache: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drop the matches kept: a number for each hash, and by number where its ids begin in the pool and how many."""
         self.seen: dict[int, int] = {}
-        self.found: list[tuple[int, ...]] = []
+        self.pool, self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _long(self, piece: bytes) -> tuple[int, ...]:
         ids = self.start[np.frombuffer(piece, np.uint8)].tolist()
@@ -261,28 +265,28 @@ class Bpe:
         if not same.all() or not (points[np.repeat(start, size) + offset] == points[np.repeat(first, size) + offset]).all():
             return self._by_pattern(texts)
         keys = (hashes + size[where].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).tolist()
-        codes = list(map(self.seen.get, keys))
-        new = [i for i, x in enumerate(codes) if x is None]
+        codes = np.fromiter((self.seen.get(x, -1) for x in keys), np.int64, len(keys))
+        new = np.flatnonzero(codes < 0)
         if len(self.seen) + len(new) > KEPT:
-            self.seen.clear()
-            self.found = []
-            new = list(range(len(keys)))
-        if new:
+            self._forget()
+            new = np.arange(len(keys))
+        if len(new):
             a, b = start[where[new]].tolist(), end[where[new]].tolist()
             names = [points[i:j].tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(a, b, strict=True)]
             self.cache.clear()
             self._learn(names)
-            for i, name in zip(new, names, strict=True):
-                self.seen[keys[i]] = len(self.found)
-                self.found.append(self.cache[name])
+            found = [self.cache[name] for name in names]
             self.cache.clear()
-            codes = list(map(self.seen.get, keys))
-        found = [self.found[i] for i in codes]
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        flat, at = np.fromiter(chain.from_iterable(found), np.int32), np.cumsum(length) - length
-        n = length[code]
+            length = np.fromiter(map(len, found), np.int64, len(found))
+            codes[new] = np.arange(len(self.size), len(self.size) + len(new))
+            self.seen.update(zip((keys[i] for i in new.tolist()), codes[new].tolist(), strict=True))
+            self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(length) - length])
+            self.size = np.concatenate([self.size, length])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.int32, int(length.sum()))])
+        of = codes[code]
+        n = self.size[of]
         ends = np.cumsum(n)
-        ids = flat[np.repeat(at[code] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.pool[np.repeat(self.at[of] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
         return np.split(ids, np.append(0, ends)[np.cumsum(counts)[:-1]])
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -8,23 +8,29 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from keelson.llm import bpe, mixing, quality, registry, simhash, toxicity
 from keelson.llm.common import crc_mod, fresh_dir, table
 
 
+def _held(docs: DataFrame) -> DataFrame:
+    """The text, and the whole row beside it: the columns that a classifier adds can't clash with those of documents."""
+    return docs.select(F.struct("*").alias("__row"), "text")
+
+
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models don't call toxic."""
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 3) != 1)
     model = toxicity.train(docs, labels)
-    return toxicity.classify(docs, model).where("predicted = 0").select(docs.columns)
+    return toxicity.classify(_held(docs), model).where("predicted = 0").select("__row.*")
 
 
 def quality_in(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2)
     weights = quality.train(docs, labels)
-    return quality.classify(docs, weights).where("predicted = 1").select(docs.columns)
+    return quality.classify(_held(docs), weights).where("predicted = 1").select("__row.*")
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,13 +106,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, most: int = MOST) -> DataFrame:
-    """docs without the rows of a near-duplicate group but that of the smallest key; of rows of one key one stays.
+    """docs without the rows of a near-duplicate group but that of the smallest key; of rows of one key that of the least
+    hash of its text stays.
 
     Rows without a key have no group to name and stay."""
     found = near_duplicates(docs.where(F.col(key).isNotNull()), key, text, words, most)
     kept = table_cut(found.where(F.col("key") == F.col("component")).groupBy("key").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("key", "__kept"), "kept")
     rows = docs.join(kept, F.col(key) == F.col("__kept"))
     once = rows.where(F.col("__n") == 1).select(docs.columns)
-    # text is the only column that can't be ordered in doubt; the first row by content stays
-    again = rows.where(F.col("__n") > 1).select(docs.columns)
-    return once.unionByName(again.dropDuplicates([key])).unionByName(docs.where(F.col(key).isNull()))
+    again = rows.where(F.col("__n") > 1).select(docs.columns).groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct("*"), F.xxhash64(text)).alias("__row"))
+    return once.unionByName(again.select("__row.*")).unionByName(docs.where(F.col(key).isNull()))

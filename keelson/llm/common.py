@@ -54,11 +54,12 @@ def crc_mod(column: str, m: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % m
 
 
-def numbered(df: DataFrame, groups: list[str], order: list[Column], bucket: Column, name: str) -> DataFrame:
+def numbered(df: DataFrame, groups: list[str], order: list[Column], bucket: Column, name: str, few: bool = False) -> DataFrame:
     """df with `name`, the row's gapless number from 0 within its group, in the order of bucket and then `order`.
 
     bucket must ascend with `order`. A group of any size is spread over its buckets: the counts of buckets give
-    each bucket's first number, and rows are numbered within buckets only, so no task holds a whole group."""
+    each bucket's first number, and rows are numbered within buckets only, so no task holds a whole group. few says that
+    groups and buckets are few (2**18 in all): then the starts are broadcast, and rows aren't shuffled to meet them."""
     rows = df.withColumn("__bucket", bucket)
     keys = [*groups, "__bucket"]
     starts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
@@ -66,6 +67,7 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], bucket: Colu
     starts = starts.select(
         *[F.col(k).alias(f"__start_{k}") for k in keys], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")
     )
+    starts = F.broadcast(starts) if few else starts
     on = [F.col(k).eqNullSafe(F.col(f"__start_{k}")) for k in keys]
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return (

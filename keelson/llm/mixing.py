@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from keelson.llm.common import numbered
 
 ADDED = ("block", "round", "slot", "in_block")
+#: Rows of the largest table that is broadcast (about 12 MB).
+FEW = 1 << 18
 
 
 def _weight(source: Column, weights: dict[str, int], default: int) -> Column:
@@ -62,27 +64,38 @@ def schedule(sources: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: dict[str, int], key: str = "doc_id", source: str = "source", block_rows: int = 16, default: int = 1) -> DataFrame:
-    """docs with block (of its source), round, slot (of the mix) and in_block; ordering by (slot, in_block) is the mix."""
-    rows = docs.withColumn("__order", F.coalesce(F.md5(F.col(key).cast("string").cast("binary")), F.lit("~")))
-    rows = numbered(rows, [source], [F.col("__order"), F.col(key)], F.substring("__order", 1, 3), "__number").drop("__order")
-    rows = rows.withColumn("block", F.expr(f"__number div {int(block_rows)}")).withColumn("in_block", F.col("__number") % block_rows).drop("__number")
-    sizes = docs.groupBy(F.col(source).alias("__source")).agg(F.count(F.lit(1)).alias("__rows"))
+def _mix(docs: DataFrame, weights: dict[str, int], key: str = "doc_id", source: str = "source", block_rows: int = 16, default: int = 1) -> DataFrame:
+    """(__row, block, round, slot, in_block) of every row.
+
+    Rows are shuffled once, to be numbered. Where a block goes follows from the sources' sizes and the plan, which are
+    broadcast if their counted bound allows it (FEW rows) and joined by shuffle beyond it."""
+    whole_rows = docs.select(F.struct("*").alias("__row"), F.col(key).alias("__key"), F.col(source).alias("__src"))
+    sizes = whole_rows.groupBy(F.col("__src").alias("__source")).agg(F.count(F.lit(1)).alias("__rows"))
     sources = sizes.select("__source", _weight(F.col("__source"), weights, default).alias("__a"), F.expr(f"(__rows + {int(block_rows) - 1}) div {int(block_rows)}").alias("__n"))
-    plan = schedule(sources)
-    whole = sources.agg(F.collect_list(F.struct(F.col("__a").alias("a"), F.col("__n").alias("n"))).alias("__all"))
+    whole = sources.agg(F.count(F.lit(1)).alias("__s"), F.sum("__a").alias("__p"), F.collect_list(F.struct(F.col("__a").alias("a"), F.col("__n").alias("n"))).alias("__all"))
+    bound = whole.select("__s", "__p").first()
+    rows = whole_rows.withColumn("__order", F.coalesce(F.md5(F.col("__key").cast("string").cast("binary")), F.lit("~")))
+    # 4096 buckets of the order, and that of null keys, for each source
+    rows = numbered(rows, ["__src"], [F.col("__order"), F.col("__key")], F.substring("__order", 1, 3), "__number", few=bound["__s"] * 4097 <= FEW).drop("__order")
+    rows = rows.withColumn("block", F.expr(f"__number div {int(block_rows)}")).withColumn("in_block", F.col("__number") % block_rows).drop("__number")
     kinds = "array_distinct(flatten(array(array(0L), flatten(transform(__all, x -> array(x.n div x.a, x.n div x.a + 1))))))"
-    # what the rows of a block need to find their slot, once for each block
-    blocks = rows.groupBy(F.col(source).alias("__source"), F.col("block").alias("__block")).agg(F.lit(1).alias("__one"))
-    blocks = blocks.withColumn("__a", _weight(F.col("__source"), weights, default)).join(F.broadcast(whole), F.lit(True))
-    blocks = blocks.withColumn("__round", F.expr("__block div __a")).withColumn("__j", F.expr("__block % __a"))
-    blocks = blocks.withColumn("__of", F.expr(f"array_max(filter({kinds}, q -> q <= __round))"))
-    blocks = blocks.withColumn("__base", F.expr("aggregate(__all, 0L, (u, x) -> u + least(x.a * __round, x.n))")).drop("__all")
-    placed = blocks.join(plan.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__j") == F.col("__k")) & (F.col("__of") == F.col("__kind")))
-    placed = placed.select("__source", "__block", F.col("__round").alias("round"), (F.col("__base") + F.col("__at")).alias("slot"))
-    return rows.join(placed, F.col(source).eqNullSafe(F.col("__source")) & (F.col("block") == F.col("__block"))).select(*docs.columns, *ADDED)
-
-
-def mixed(docs: DataFrame, weights: dict[str, int], key: str = "doc_id", source: str = "source", block_rows: int = 16, default: int = 1) -> DataFrame:
+    rows = rows.withColumn("__a", _weight(F.col("__src"), weights, default)).withColumn("round", F.expr("block div __a")).withColumn("__j", F.expr("block % __a"))
+    rows = rows.join(F.broadcast(whole.select("__all")), F.lit(True))
+    rows = rows.withColumn("__of", F.expr(f"array_max(filter({kinds}, q -> q <= round))")).withColumn("__base", F.expr("aggregate(__all, 0L, (u, x) -> u + least(x.a * round, x.n))"))
+    # a kind of round has at most P blocks, and there are at most 2 S + 1 kinds
+    plan = schedule(sources).withColumnRenamed("__source", "__s")
+    plan = F.broadcast(plan) if (2 * bound["__s"] + 1) * (bound["__p"] or 0) <= FEW else plan
+    placed = rows.join(plan, F.col("__src").eqNullSafe(F.col("__s")) & (F.col("__j") == F.col("__k")) & (F.col("__of") == F.col("__kind")))
+    return placed.select("__row", "block", "round", (F.col("__base") + F.col("__at")).alias("slot"), "in_block")
+
+
+def mix(docs: DataFrame, weights: dict[str, int], **named) -> DataFrame:
+    """docs with block (of its source), round, slot (of the mix) and in_block; ordering by (slot, in_block) is the mix.
+    Columns of docs that bear one of these names give way."""
+    placed = _mix(docs, weights, **named)
+    return placed.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c.lower() not in ADDED], *ADDED)
+
+
+def mixed(docs: DataFrame, weights: dict[str, int], **named) -> DataFrame:
     """docs in the order of the mix, with their own columns."""
-    return mix(docs, weights, key, source, block_rows, default).orderBy("slot", "in_block").select(docs.columns)
+    return _mix(docs, weights, **named).orderBy("slot", "in_block").select("__row.*")

@@ -28,6 +28,8 @@ WORDS = 3
 MOST = 2
 #: Segments for up to MANY distinct fingerprints, and for more: finer cells hold fewer pairs, but have more neighbours.
 SEGMENTS, FINE, MANY = 8, 16, 1 << 21
+#: Keys of at most so many rows (about 16 MB) go to the documents; more of them meet in a shuffle by key.
+SENT = 1 << 20
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -110,9 +112,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     hash of its text stays.
 
     Rows without a key have no group to name and stay."""
-    found = near_duplicates(docs.where(F.col(key).isNotNull()), key, text, words, most)
-    kept = table_cut(found.where(F.col("key") == F.col("component")).groupBy("key").agg(F.count(F.lit(1)).alias("__n")).withColumnRenamed("key", "__kept"), "kept")
-    rows = docs.join(kept, F.col(key) == F.col("__kept"))
-    once = rows.where(F.col("__n") == 1).select(docs.columns)
-    again = rows.where(F.col("__n") > 1).select(docs.columns).groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct("*"), F.xxhash64(text)).alias("__row"))
-    return once.unionByName(again.select("__row.*")).unionByName(docs.where(F.col(key).isNull()))
+    rows = docs.where(F.col(key).isNotNull())
+    found = near_duplicates(rows, key, text, words, most)
+    stays = F.max(F.col("key") == F.col("component")).alias("__stays")
+    # what isn't simply kept: keys that go, and keys of several rows of which one stays
+    marks = found.groupBy(F.col("key").alias("__marked")).agg(stays, F.count(F.lit(1)).alias("__n")).where(~F.col("__stays") | (F.col("__n") > 1))
+    marks = table_cut(marks.select("__marked", "__stays"), "marks")
+    size = marks.agg(F.count(F.lit(1)).alias("all"), F.count_if("__stays").alias("again")).first()
+    joined = rows.join(F.broadcast(marks) if size["all"] <= SENT else marks, F.col(key) == F.col("__marked"), "left")
+    out = joined.where(F.col("__marked").isNull()).select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    if size["again"]:
+        again = joined.where("__stays").select(docs.columns).groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct("*"), F.xxhash64(text)).alias("__row"))
+        out = out.unionByName(again.select("__row.*"))
+    return out

@@ -49,7 +49,7 @@ _START = 1
 #: Labels of at most so many rows (16 bytes each: 64 MB) go to the documents; more of them meet in a shuffle by key.
 SENT = 1 << 22
 #: Distinct pairs that are gathered before they are passed on.
-_FLUSH = 4_000_000
+_FLUSH = 1_500_000
 
 
 def stream(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -6,7 +6,8 @@ transitions depend on whether neighbours share their container. Weights are fitt
 log-likelihood of labelled pages (labelled_pages), and the best labelling is found by Viterbi, batched over pages.
 
 Defined cases: null and empty html and pages without text give the empty text; unclosed and misnested tags close as
-browsers roughly do; scripts, styles and comments never are text, even unclosed; text without any markup is one block;
+browsers roughly do; scripts, styles and comments never are text, even unclosed; the text of all other elements is, that of formulas,
+drawings, embedded objects and their stand-ins too, and the field decides on it; text without any markup is one block;
 pages of any length are whole; repeated rows give equal texts; other columns are carried by name and never read."""
 
 from __future__ import annotations
@@ -27,16 +28,18 @@ from keelson.llm import labelled_pages
 from keelson.llm.common import slices, strings
 
 BITS = 13
+#: Attributes up to the tag's end. A quote encloses a value only right after "="; possessive, so nothing is retried.
+_ATTRS = r"(?>[^>=]+|=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)|=)*+"
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</\1\s*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
+    rf"<!--(?:-?>|.*?-->|.*\Z)|<(script|style)(?=[\s/>]){_ATTRS}>(?:.*?</\1(?=[\s/>])[^>]*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})>|<[!?/][^>]*>",
     re.S | re.I,
 )
 _BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _BLOCK = frozenset(
-    "html head body title p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article header footer nav aside main blockquote pre form fieldset figure figcaption hr address details summary select option button label legend center ins dialog hgroup menu".split()
+    "html head body title p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article header footer nav aside main blockquote pre form fieldset figure figcaption hr address details summary select option button label legend center ins dialog hgroup menu noscript object canvas iframe template textarea".split()
 )
 _VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-_ENDS_P = _BLOCK - {"button", "label", "option", "select", "ins"}
+_ENDS_P = _BLOCK - {"button", "label", "option", "select", "ins", "noscript", "object", "canvas", "iframe", "template", "textarea"}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _HEAD = frozenset(["head", "title"])
@@ -97,7 +100,7 @@ def blocks(page: str) -> list[Block]:
         if tag in _BLOCK:
             flush()
             link = False if tag in _ENDS_P else link
-            if tag in _VOID:
+            if tag in _VOID or (tag == "title" and m.group(4).endswith("/")):
                 continue
             if closing:
                 close(tag)
@@ -117,6 +120,10 @@ def blocks(page: str) -> list[Block]:
             link = not closing
         elif tag == "br":
             parts.append(" ")
+        elif tag == "svg" and closing and any(t == "title" for t, _ in stack):
+            # an unclosed title of a drawing ends with it
+            flush()
+            close("title")
     add(page[at:])
     flush()
     return out

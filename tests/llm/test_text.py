@@ -135,3 +135,14 @@ def test_pages(spark, odd):
     assert [r["text"] for r in got if r["page_id"] == 1] == ["A & B\nFirst paragraph of the text, long enough to read.\nSecond one, with bold words inside it."] * 2
     assert all(r["n_chars"] == len(r["text"]) for r in got) and len(got) == len(rows)
     assert {r["text"] for r in got if r["page_id"] in (2, 3, 5, None)} == {""}
+
+
+@pytest.mark.parametrize("tag", ['<svg class="i"/>', "<math/>", "<object data=x>", "<canvas>", "<noscript>", "<svg><title/></svg>", "<svg><title>t</svg>", "<style-guide>", "<p data-x=don't>", "<p title=a=b'c>", "<!-->"])
+def test_no_element_but_scripts_styles_and_comments_swallows_the_page(tag):
+    found = [b.text for b in html.blocks(f"<p>before</p>{tag}<p>after one</p><p class='x>y'>it's after</p>")]
+    assert found == ["before", "after one", "it's after"]
+
+
+def test_only_scripts_styles_and_comments_are_dropped():
+    page = "<p>area <math><mi>x</mi></math> m</p><noscript>plain words</noscript><object data=x>stand-in</object><script>a</script ><style>b</style><!-- c -->end<script>open"
+    assert [b.text for b in html.blocks(page)] == ["area x m", "plain words", "stand-in", "end"]

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -96,32 +97,48 @@ def links(fps: DataFrame, most: int = MOST, segments: int | None = None) -> Data
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, most: int = MOST) -> DataFrame:
-    """(key, fp, component): per row its fingerprint and the smallest key that links reach, its own included."""
+def _groups(docs: DataFrame, key: str, text: str, words: int, most: int) -> DataFrame:
+    """(key, fp, component, root): near_duplicates, and the least fingerprint that links reach, which names the group."""
     fps = table_cut(fingerprints(docs, key, text, words), "fingerprints")
     least = fps.groupBy("fp").agg(F.min("key").alias("first"))
     group = components(links(fps, most))
     of = least.join(group, least.fp == group.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     root = of.groupBy(F.col("root").alias("whole")).agg(F.min("first").alias("component"))
-    named = of.join(root, of.root == root.whole).select(F.col("fp").alias("__fp"), "component")
-    return fps.join(named, fps.fp == named["__fp"]).select("key", "fp", "component")
+    named = of.join(root, of.root == root.whole).select(F.col("fp").alias("__fp"), "component", "root")
+    return fps.join(named, fps.fp == named["__fp"]).select("key", "fp", "component", "root")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, most: int = MOST) -> DataFrame:
+    """(key, fp, component): per row its fingerprint and the smallest key that links reach, its own included."""
+    return _groups(docs, key, text, words, most).select("key", "fp", "component")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, most: int = MOST) -> DataFrame:
-    """docs without the rows of a near-duplicate group but that of the smallest key; of rows of one key that of the least
-    hash of its text stays.
+    """docs with one row of each near-duplicate group: that of the smallest key and, of several of that key, of the least
+    hash of its text. Rows that share a key but not a group are decided on apart.
 
     Rows without a key have no group to name and stay."""
     rows = docs.where(F.col(key).isNotNull())
-    found = near_duplicates(rows, key, text, words, most)
+    found = _groups(rows, key, text, words, most)
     stays = F.max(F.col("key") == F.col("component")).alias("__stays")
-    # what isn't simply kept: keys that go, and keys of several rows of which one stays
+    # what isn't simply kept: keys that go, and keys of several rows of which some stay
     marks = found.groupBy(F.col("key").alias("__marked")).agg(stays, F.count(F.lit(1)).alias("__n")).where(~F.col("__stays") | (F.col("__n") > 1))
     marks = table_cut(marks.select("__marked", "__stays"), "marks")
     size = marks.agg(F.count(F.lit(1)).alias("all"), F.count_if("__stays").alias("again")).first()
     joined = rows.join(F.broadcast(marks) if size["all"] <= SENT else marks, F.col(key) == F.col("__marked"), "left")
     out = joined.where(F.col("__marked").isNull()).select(docs.columns).unionByName(docs.where(F.col(key).isNull()))
     if size["again"]:
-        again = joined.where("__stays").select(docs.columns).groupBy(F.col(key).alias("__key")).agg(F.min_by(F.struct("*"), F.xxhash64(text)).alias("__row"))
+        # a key doesn't tell these rows' groups: their fingerprints, found anew, do
+        several = marks.where("__stays").select(F.col("__marked").alias("__several"))
+        named = found.where(F.col("key") == F.col("component")).join(several, F.col("key") == F.col("__several"), "left_semi")
+        named = named.select(F.col("key").alias("__named"), F.col("fp").alias("__named_fp"), F.col("root").alias("__root")).distinct()
+
+        @F.pandas_udf("long")
+        def fp(text: pd.Series) -> pd.Series:
+            return pd.Series(np.array([fingerprint(x or "", words) for x in text], np.uint64).view(np.int64))
+
+        again = joined.where("__stays").select(F.struct(*docs.columns).alias("__row"), F.col(key).alias("__key"), F.col(text).alias("__text"), fp(F.col(text)).alias("__fp"))
+        again = again.join(named, (F.col("__key") == F.col("__named")) & (F.col("__fp") == F.col("__named_fp")))
+        again = again.groupBy("__root").agg(F.min_by("__row", F.xxhash64("__text")).alias("__row"))
         out = out.unionByName(again.select("__row.*"))
     return out

@@ -102,6 +102,16 @@ def test_near_duplicates_and_odd_rows(odd, nothing):
     assert simhash.keep_one(nothing).count() == 0 and simhash.near_duplicates(nothing).count() == 0
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_one_row_of_each_group_stays_whatever_keys_they_share(spark, swap):
+    a, b = "alpha beta gamma delta epsilon", "one two three four five six"
+    a, b = (b, a) if swap else (a, b)
+    kept = simhash.keep_one(spark.createDataFrame([(3, b), (5, a), (5, b), (9, a), (9, "a third text of its own"), (9, "a third text of its own")], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(3, b), (5, a), (9, "a third text of its own")])
+    own = spark.createDataFrame([(7, f"{i} text {i * i} of its {i + 1} own {i * 31}") for i in range(40)], "doc_id long, text string")
+    assert simhash.keep_one(own).count() == len({r["fp"] for r in simhash.near_duplicates(own).collect()})
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (5, 5), (None, 1)], "a long, b long")

@@ -12,9 +12,10 @@ both classes, is discounted wholly and takes its probability from the shared cou
 one class has far in excess. The lambdas give back what was discounted. A text's evidence is its length-normalised
 difference of log-likelihoods; a logistic curve fitted on labelled texts that weren't counted turns it into a score.
 
-All labelled rows are counted, so what is gathered grows with the corpus. The model that is sent to executors has a
-proven bound: a word or pair is kept if it makes up at least 1/KEEP of all counted words, so at most KEEP of each are
-kept; the rest count as one unknown word, and their probability mass goes to the backoff.
+What is gathered grows with the corpus, and no count is dropped. A model of at most KEEP words and pairs is sent to
+executors whole. Of a larger one (Wide) only the most frequent pairs are, at most KEEP; all others lie in a written table, to
+which the words and pairs of texts are joined. A text's evidence is a sum: every word adds what it and the one before
+it say alone, every counted pair a correction. So each lookup needs one number.
 
 Defined cases: null and empty texts have evidence 0; rows with a null label or key aren't learnt from; without
 labelled rows of both classes the score is 0.5; repeated rows count as often as they stand; very long texts are read
@@ -33,11 +34,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import sigmoid, strings
+from keelson.llm.common import sigmoid, slices, strings, table_cut
 from keelson.llm.tokens import words
 
-#: Most words, and most pairs of words, of the model.
+#: Most words, and most pairs of words, that are sent to executors.
 KEEP = 1 << 20
+#: Words of at most so many rows (40 bytes each) go to the pairs; more of them meet in shuffles.
+WORDS = 1 << 21
+#: Evidence of at most so many texts goes to the documents; more of them meet in a shuffle.
+SCORED = 1 << 19
+#: Entries of a bucket of the written table, and the least number of buckets; bits of the map of what the table has.
+BUCKET, BUCKETS, MAP = 1 << 22, 16, 27
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Codes of words (alone, and as the one before) beside those of pairs.
+_ALONE, _BEFORE = 1 << 62, 1 << 62 | 1 << 31
 #: A class's count is discounted by FACTOR times the count that the shared ones predict of it, and by LEAST more.
 FACTOR, LEAST = 2.0, 2.0
 #: Weight of the pairs' shared relative frequency in predicting the next word.
@@ -166,7 +176,240 @@ def curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(beta[0] / scale), float(beta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers by place of their bytes: what ascends or is small compresses."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _pack(mixed: np.ndarray) -> bytes:
+    return _planes(np.diff(mixed, prepend=np.uint64(0)))
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, np.uint64), dtype=np.uint64)
+
+
+def _buckets(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Order and value of the mixed codes, and for each bucket with any: its number, begin and end."""
+    mixed = codes.astype(np.uint64) * _ODD
+    order = np.argsort(mixed)
+    mixed = mixed[order]
+    at = np.searchsorted(mixed, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+    ends = np.append(at[1:], len(mixed))
+    return order, mixed, [(i, int(x), int(y)) for i, (x, y) in enumerate(zip(at, ends)) if y > x]
+
+
+def _found(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted number by a sorted table; 0 where it isn't there."""
+    if not len(table):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return np.where(table[at] == wanted, values[at], 0.0)
+
+
+def _corrections(counts: np.ndarray, n: np.ndarray, back: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """What counted pairs say beyond their words. All arrays: by pair and class."""
+    both = counts.sum(1) / np.maximum(n.sum(1), 1)
+    excess = np.maximum(counts - _discount(n * both[:, None]), 0) / np.maximum(n, 1)
+    alone = low * back
+    p = alone + SHARED * both[:, None] + (1 - SHARED) * excess
+    return np.log(p[:, 1] / p[:, 0]) - np.log(alone[:, 1] / alone[:, 0])
+
+
+@dataclass
+class Sent:
+    """What executors hold of a wide model: frequent pairs, words that say something alone (None: they are in the table),
+    what any other word says, and a map of the table's codes."""
+
+    pair: np.ndarray
+    high: np.ndarray
+    word: np.ndarray | None
+    alone: np.ndarray
+    before: np.ndarray
+    other: float
+    map: np.ndarray
+
+    def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sum and number of words of each text by what is held, and the texts and codes to look up in the table."""
+        total, n, of, codes = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for doc, before, word in stream(texts):
+            pair = before << _HASH | word
+            gain = self.other + _found(self.pair, self.high, pair)
+            asked = [pair]
+            if self.word is None:
+                asked += [word | _ALONE, before | _BEFORE]
+            else:
+                gain += _found(self.word, self.alone, word) + _found(self.word, self.before, before)
+            total += np.bincount(doc, gain, len(texts))
+            n += np.bincount(doc, minlength=len(texts))
+            for x in asked:
+                place = (x.astype(np.uint64) * _ODD >> np.uint64(64 - MAP)).astype(np.int64)
+                maybe = (self.map[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                of.append(doc[maybe]), codes.append(x[maybe])
+        return total, n, np.concatenate(of), np.concatenate(codes)
+
+
+@dataclass
+class Wide:
+    """A model that is too large to send: the written table (bucket, codes, value) of all that isn't frequent."""
+
+    sent: Sent
+    table: DataFrame
+    bits: int
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def evidence(self, texts: DataFrame) -> DataFrame:
+        """(h1, h2, evidence) of the distinct texts of column __text, named by two hashes."""
+        sent, bits = texts.sparkSession.sparkContext.broadcast(self.sent), self.bits
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                whole, names = strings(batch.column("__text")), np.stack([batch.column(c).to_numpy() for c in ("h1", "h2")], 1)
+                for a, b in slices([len(x) for x in whole], 1 << 22):
+                    total, n, of, codes = sent.value.parts(whole[a:b])
+                    name = names[a:b]
+                    order, mixed, found = _buckets(codes, bits)
+                    of = of[order]
+                    out = [(int(name[0, 0]) & ((1 << bits) - 1), True, total.tobytes(), n.tobytes(), name.tobytes())]
+                    for i, x, y in found:
+                        docs, at = np.unique(of[x:y], return_inverse=True)
+                        out.append((i, False, _pack(mixed[x:y]), _planes(at.astype(np.uint32)), name[docs].tobytes()))
+                    for row in out:  # one by one: a row may be large
+                        yield pa.RecordBatch.from_pylist([dict(zip(asked.names, row))], schema=asked)
+
+        def answer(wanted: pa.Table, table: pa.Table) -> pa.Table:
+            codes, values = np.zeros(0, np.uint64), np.zeros(0)
+            for row in table.to_pylist():
+                codes, values = _unpack(row["codes"]), np.frombuffer(row["value"], np.float32)
+            name, part, n = [np.zeros((0, 2), np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+            for batch in wanted.to_batches():
+                for row in batch.to_pylist():
+                    name.append(np.frombuffer(row["names"], np.int64).reshape(-1, 2))
+                    if row["own"]:
+                        part.append(np.frombuffer(row["codes"])), n.append(np.frombuffer(row["docs"], np.int64))
+                    else:
+                        part.append(np.bincount(_numbers(row["docs"], np.uint32), _found(codes, values, _unpack(row["codes"])), len(name[-1])))
+                        n.append(np.zeros(len(name[-1]), np.int64))
+            names = np.concatenate(name)
+            return pa.table({"h1": names[:, 0].copy(), "h2": names[:, 1].copy(), "part": np.concatenate(part), "n": np.concatenate(n)})
+
+        asked = pa.schema([("bucket", pa.int32()), ("own", pa.bool_()), ("codes", pa.binary()), ("docs", pa.binary()), ("names", pa.binary())])
+        rows = _hashed(texts).mapInArrow(ask, "bucket int, own boolean, codes binary, docs binary, names binary")
+        parts = rows.groupBy("bucket").cogroup(self.table.groupBy("bucket")).applyInArrow(answer, "h1 long, h2 long, part double, n long")
+        # repeated texts count as often in both sums
+        return parts.groupBy("h1", "h2").agg((F.sum("part") / F.greatest(F.sum("n"), F.lit(1))).alias("evidence"))
+
+
+def _hashed(texts: DataFrame) -> DataFrame:
+    text = F.coalesce("__text", F.lit(""))
+    return texts.withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)})
+
+
+def _wide(pairs: DataFrame, by_word: DataFrame, n_pairs: int, n_words: int, least: int) -> Wide | None:
+    """The model of more words or pairs than are sent; pairs counted at least `least` times are at most KEEP."""
+    spark = pairs.sparkSession
+    k = F.greatest(F.col("k"), F.lit(0.5))
+    sums = by_word.agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"), (F.sum(k) + 0.5).alias("k")).first()
+    if not sums["k0"] or not sums["k1"]:
+        return None
+    discount = lambda expected: FACTOR * expected + LEAST
+    main = [F.greatest(F.col(f"k{c}") - discount(sums[f"k{c}"] * k / sums["k"]), F.lit(0.0)) / sums[f"k{c}"] for c in (0, 1)]
+    rest = by_word.agg(*[(1 - F.sum(m)).alias(f"r{c}") for c, m in enumerate(main)]).first()
+    # only pairs counted more than LEAST times in a class can be in excess
+    n = by_word.select(F.col("hash").alias("v"), "n0", "n1")
+    often = pairs.where(F.greatest("c0", "c1") > LEAST).withColumn("first", F.shiftright("pair", _HASH)).join(n, F.col("first") == F.col("v"))
+    both = (F.col("c0") + F.col("c1")) / (F.col("n0") + F.col("n1"))
+    excess = often.groupBy("v").agg(*[F.sum(F.greatest(F.col(f"c{c}") - discount(F.col(f"n{c}") * both), F.lit(0.0)) / F.greatest(F.col(f"n{c}"), F.lit(1))).alias(f"e{c}") for c in (0, 1)])
+    word = by_word.join(excess, by_word.hash == excess.v, "left").select(
+        "hash", "n0", "n1", *[(m + rest[f"r{c}"] * k / sums["k"]).alias(f"low{c}") for c, m in enumerate(main)],
+        *[F.when(F.col("n0") + F.col("n1") > 0, F.greatest((1 - SHARED) * (1 - F.coalesce(f"e{c}", F.lit(0.0))), F.lit(1e-6))).otherwise(1.0).alias(f"back{c}") for c in (0, 1)],
+        ((main[0] > 0) | (main[1] > 0) | (F.coalesce("e0", F.lit(0.0)) + F.coalesce("e1", F.lit(0.0)) > 0)).alias("says"),
+    )
+    word = table_cut(word, "words")
+    other = float(np.log(rest["r1"] / rest["r0"]))
+    says = word.where("says").select("hash", (F.log(F.col("low1") / F.col("low0")) - other).alias("alone"), F.log(F.col("back1") / F.col("back0")).alias("before"))
+    names = ["n0", "n1", "back0", "back1", "low0", "low1"]
+    count = F.col("c0") + F.col("c1")
+    if n_words <= WORDS:
+        known = word.select("hash", *names).toArrow().sort_by("hash")
+        held = spark.sparkContext.broadcast((known["hash"].to_numpy(), np.stack([known[c].to_numpy() for c in names], 1).astype(np.float32)))
+        rows = pairs
+    else:
+        held = None
+        first = word.select(F.col("hash").alias("v"), *names[:4])
+        second = word.select(F.col("hash").alias("w"), *names[4:])
+        rows = pairs.join(first, F.shiftright("pair", _HASH) == F.col("v")).join(second, F.col("pair").bitwiseAND((1 << _HASH) - 1) == F.col("w"))
+
+    def value(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        pair, counts = batch.column("pair").to_numpy(), np.stack([batch.column(c).to_numpy() for c in ("c0", "c1")], 1)
+        if held is None:
+            of = np.stack([batch.column(c).to_numpy() for c in names], 1)
+        else:
+            hashes, all_of = held.value
+            of = np.concatenate([all_of[np.searchsorted(hashes, pair >> _HASH), :4], all_of[np.searchsorted(hashes, pair & ((1 << _HASH) - 1)), 4:]], 1).astype(float)
+        return pair, _corrections(counts, of[:, :2], of[:, 2:4], of[:, 4:])
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*map(pa.array, value(batch))], names=["pair", "high"])
+
+    head = rows.where(count >= least).mapInArrow(frequent, "pair long, high double").toPandas().sort_values("pair")
+    n_says = says.count()
+    bits = (max(BUCKETS, -(-(n_pairs + 2 * n_says) // BUCKET)) - 1).bit_length()
+
+    def cut_up(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        held_parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            codes, values = (np.concatenate(x) for x in zip(*held_parts))
+            held_parts.clear()
+            order, mixed, found = _buckets(codes, bits)
+            values = values[order].astype(np.float32)
+            for i, x, y in found:
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_pack(mixed[x:y])], pa.binary()), pa.array([values[x:y].tobytes()], pa.binary())], names=["bucket", "codes", "value"])
+
+        for part in parts:
+            held_parts.append(part)
+            if sum(len(x) for x, _ in held_parts) >= _FLUSH:
+                yield from out()
+        if held_parts:
+            yield from out()
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return cut_up(map(value, batches))
+
+    def saying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return cut_up((b.column("hash").to_numpy() | o, b.column(c).to_numpy()) for b in batches for c, o in (("alone", _ALONE), ("before", _BEFORE)))
+
+    def merge(parts: pa.Table) -> pa.Table:
+        codes = np.concatenate([_unpack(x) for x in parts["codes"].to_pylist()])
+        values = np.concatenate([np.frombuffer(x, np.float32) for x in parts["value"].to_pylist()])
+        order = np.argsort(codes)
+        codes = codes[order]
+        bucket = parts["bucket"][0].as_py()
+        marks = np.zeros(1 << (MAP - bits), np.uint8)
+        marks[(codes >> np.uint64(64 - MAP)).astype(np.int64) - (bucket << (MAP - bits))] = 1
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "codes": pa.array([_pack(codes)], pa.binary()), "value": pa.array([values[order].tobytes()], pa.binary()), "map": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+
+    blobs = rows.where(count < least).mapInArrow(rare, "bucket int, codes binary, value binary")
+    if n_says > KEEP:
+        blobs = blobs.unionByName(says.mapInArrow(saying, "bucket int, codes binary, value binary"))
+    table = table_cut(blobs.groupBy("bucket").applyInArrow(merge, "bucket int, codes binary, value binary, map binary"), "toxicity")
+    whole = np.zeros(1 << (MAP - 3), np.uint8)
+    for row in table.select("bucket", "map").toLocalIterator():
+        size = 1 << (MAP - bits - 3)
+        whole[row["bucket"] * size : (row["bucket"] + 1) * size] = np.frombuffer(row["map"], np.uint8)
+    alone = says.toPandas().sort_values("hash") if n_says <= KEEP else None
+    words_of = [None, np.zeros(0), np.zeros(0)] if alone is None else [alone[c].to_numpy() for c in ("hash", "alone", "before")]
+    return Wide(Sent(head["pair"].to_numpy(), head.high.to_numpy(), *words_of, other, whole), table.drop("map"), bits)
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | Wide | None:
     """The model counted over all labelled rows; None if a class has none."""
     spark = docs.sparkSession
     labelled = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(
@@ -203,27 +446,34 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         roles = pairs.select(
             F.inline(
                 F.array(
-                    F.struct(first.alias("hash"), zero.alias("k"), zero.alias("k0"), zero.alias("k1"), F.col("c0").alias("n0"), F.col("c1").alias("n1"), zero.alias("n")),
-                    F.struct(second.alias("hash"), F.lit(1).cast("long").alias("k"), one("c0").alias("k0"), one("c1").alias("k1"), zero.alias("n0"), zero.alias("n1"), (F.col("c0") + F.col("c1")).alias("n")),
+                    F.struct(first.alias("hash"), zero.alias("k"), zero.alias("k0"), zero.alias("k1"), F.col("c0").alias("n0"), F.col("c1").alias("n1")),
+                    F.struct(second.alias("hash"), F.lit(1).cast("long").alias("k"), one("c0").alias("k0"), one("c1").alias("k1"), zero.alias("n0"), zero.alias("n1")),
                 )
             )
         )
-        names = ("k", "k0", "k1", "n0", "n1", "n")
+        names = ("k", "k0", "k1", "n0", "n1")
         by_word = roles.groupBy("hash").agg(*[F.sum(c).alias(c) for c in names])
-        # words too rare to keep are one unknown word
-        kept = F.when((F.greatest("n", F.col("n0") + F.col("n1")) >= least) | (F.col("hash") == _START), F.col("hash"))
-        word = by_word.groupBy(kept.alias("hash")).agg(*[F.sum(c).alias(c) for c in names]).toPandas()
-        pair = pairs.where(F.col("c0") + F.col("c1") >= least).toPandas()
+        by_word = table_cut(by_word.select("hash", *names), "words")
+        n_pairs, n_words = pairs.count(), by_word.count()
+        if max(n_pairs, n_words) <= KEEP:
+            model = build(by_word.toPandas(), pairs.toPandas())
+        else:
+            model = _wide(pairs, by_word, n_pairs, n_words, least)
     finally:
         pairs.unpersist()
-    model = build(word, pair)
     if model is None:
         return None
-    sent = spark.sparkContext.broadcast(model)
     # the keys are chosen among the labels, so no task gathers texts
     chosen = F.broadcast(labelled.where(F.col("__fold") == 0).orderBy(F.xxhash64("__key"), "__key").limit(CURVE))
     some = texts.join(chosen, F.col("__doc") == F.col("__key")).select("__text", "__toxic")
 
+    if isinstance(model, Wide):
+        some = _hashed(table_cut(some, "curve"))
+        seen = some.join(model.evidence(some.select("__text")), ["h1", "h2"]).select("evidence", F.col("__toxic").alias("toxic")).toPandas()
+        model.slope, model.offset = curve(seen.evidence.to_numpy(), seen.toxic.to_numpy())
+        return model
+    sent = spark.sparkContext.broadcast(model)
+
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(sent.value.evidence(strings(batch.column("__text")))), batch.column("__toxic")], names=["evidence", "toxic"])
@@ -233,8 +483,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return model
 
 
-def classify(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, model: Model | Wide | None, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """docs with columns score (0.5 without a model) and predicted (1, toxic, where the score is at least the threshold)."""
+    if isinstance(model, Wide):
+        known = table_cut(model.evidence(docs.select(F.col(text).alias("__text"))), "evidence")
+        x = F.greatest(F.least(model.slope * F.col("evidence") + model.offset, F.lit(40.0)), F.lit(-40.0))
+        known = known.select("h1", "h2", (1 / (1 + F.exp(-x))).alias("__score"))
+        rows = _hashed(docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text")))
+        rows = rows.join(F.broadcast(known) if known.count() <= SCORED else known, ["h1", "h2"])
+        docs, score = rows.select("__row", "__score"), F.col("__score")
+        kept = [F.col(f"__row.`{c}`").alias(c) for c in docs.schema["__row"].dataType.names if c not in ("score", "predicted")]
+        return docs.select(*kept, score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
     if model is None:
         score = F.lit(0.5)
     else:

@@ -63,6 +63,22 @@ def test_kneser_ney_sums_to_one():
         assert np.allclose(total, 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("many", [False, True])
+def test_no_count_is_dropped_for_the_models_size(spark, marked, odd, monkeypatch, many):
+    """A model larger than what is sent scores as the whole one does."""
+    rows = marked.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    whole = toxicity.train(marked, marked, label="mark")
+    want = sorted((r["doc_id"] or 0, r["text"] or "", r["score"]) for r in toxicity.classify(rows, whole).collect())
+    monkeypatch.setattr(toxicity, "KEEP", 0x1 if many else 200)
+    if many:
+        monkeypatch.setattr(toxicity, "WORDS", 0)
+        monkeypatch.setattr(toxicity, "SCORED", 0)
+    wide = toxicity.train(marked, marked, label="mark")
+    got = sorted((r["doc_id"] or 0, r["text"] or "", r["score"]) for r in toxicity.classify(rows, wide).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-4)
+
+
 def test_words_are_the_same_in_slices_and_alone():
     text = "Été, the QUICK brown-fox 42 ..." + " word" * 10
     (one,), (two,) = list(words([text])), list(words(["x", text]))

@@ -2,24 +2,29 @@
 
 Two interpolated Kneser-Ney models are counted, of the texts labelled toxic and of the ordinary ones:
 
-    P_c(w | v) = (1 - S) max(n_c(v, w) - D, 0) / n_c(v) + S n(v, w) / n(v) + lambda_c(v) P_c(w)
-    P_c(w)     = max(k_c(w) - D, 0) / K_c + lambda_c P(w),        P(w) = k(w) / K
-
-n are counts, k_c(w) is the number of distinct words that w follows in class c (its continuation count), and n and k
-without c are the same over both classes: the shared backoff counts. The absolute discount D is FACTOR times the count
-that the shared counts predict for the class, and LEAST more. So an expression that is rare, or about as common in
-both classes, is discounted wholly and takes its probability from the shared counts in both models; what stays is what
-one class has far in excess. The lambdas give back what was discounted. A text's evidence is its length-normalised
-difference of log-likelihoods; a logistic curve fitted on labelled texts that weren't counted turns it into a score.
-
-What is gathered grows with the corpus, and no count is dropped. A model of at most KEEP words and pairs is sent to
-executors whole. Of a larger one (Wide) only the most frequent pairs are, at most KEEP; all others lie in a written table, to
-which the words and pairs of texts are joined. A text's evidence is a sum: every word adds what it and the one before
-it say alone, every counted pair a correction. So each lookup needs one number.
-
-Defined cases: null and empty texts have evidence 0; rows with a null label or key aren't learnt from; without
-labelled rows of both classes the score is 0.5; repeated rows count as often as they stand; very long texts are read
-whole, in slices (a pair doesn't span a slice); other columns are carried by name and never read."""
+    P_c(w | v) = [v w is kept] max(n_c(v, w) - D_c, 0) / n_c(v) + lambda_c(v) P_c(w)
+    P_c(w)     = [w is kept] max(k_c(w) - E_c, 0) / K_c + lambda_c P(w),        P(w) = k(w) / K
+
+n_c are counts, k_c(w) is the number of distinct words that w follows in class c (its continuation count), K_c their sum;
+k and K, without a class, are the shared backoff counts. D_c and E_c are absolute discounts between 0 and 1, each n1 / (n1 +
+2 n2) of its class's counts of counts; the lambdas give back what was discounted or isn't kept, so that both models are
+distributions. All counts are gathered, those of one too: they are part of the discounts and the shared counts.
+
+What is kept follows relative entropy pruning (Stolcke 1998): an expression has counts of its own in both models if these
+gain WORD_GAIN or PAIR_GAIN nats over what backing off says of its classes, and differ from that RATIO times. Any other
+one, as all rare ones are, has the shared counts' probability in both models and so says nothing. Of a gain only the part
+counts that different texts witness, told apart by the least hash of their pairs of words (MinHash): a text is one
+witness however often it repeats the expression, and so are its copies and nearly all of its near copies. The thresholds
+are fixed, so evidence of a given strength counts alike in a corpus of any size.
+
+A text's evidence is its length-normalised difference of log-likelihoods; a logistic curve, fitted on at most CURVE labelled
+texts that weren't counted, turns it into a score. Evidence is a sum over words of what kept words, kept pairs and the words
+before these say: a table of codes and values. At most KEEP entries are sent to executors; texts are joined to a larger table
+(Wide). No entry is dropped.
+
+Defined cases: null and empty texts have the evidence of a word that says nothing; rows with a null label or key aren't
+learnt from; without labelled rows of both classes the score is 0.5; repeated rows count as often as they stand; very
+long texts are read whole, in slices (a pair doesn't span a slice); other columns are carried by name and never read."""
 
 from __future__ import annotations
 
@@ -30,36 +35,35 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import sigmoid, slices, strings, table_cut
-from keelson.llm.tokens import words
+from keelson.llm.common import sigmoid, strings, table_cut
+from keelson.llm.tokens import mix, words
 
-#: Most words, and most pairs of words, that are sent to executors.
+#: Nats by which counts of its own must explain a word, or a pair, better than backing off does.
+WORD_GAIN, PAIR_GAIN = 8.0, 16.0
+#: Times by which a kept expression's odds of being toxic differ from what backing off says.
+RATIO = 3.0
+#: Most entries (16 bytes each) that are sent to executors.
 KEEP = 1 << 20
-#: Words of at most so many rows (40 bytes each) go to the pairs; more of them meet in shuffles.
-WORDS = 1 << 21
+#: The curve is fitted on one labelled text in SHARE, at most CURVE.
+SHARE, CURVE = 5, 4000
+#: Labels of at most so many rows (16 bytes each: 64 MB) go to the documents; more of them meet in a shuffle by key.
+SENT = 1 << 22
 #: Evidence of at most so many texts goes to the documents; more of them meet in a shuffle.
 SCORED = 1 << 19
-#: Entries of a bucket of the written table, and the least number of buckets; bits of the map of what the table has.
-BUCKET, BUCKETS, MAP = 1 << 22, 16, 27
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Codes of words (alone, and as the one before) beside those of pairs.
-_ALONE, _BEFORE = 1 << 62, 1 << 62 | 1 << 31
-#: A class's count is discounted by FACTOR times the count that the shared ones predict of it, and by LEAST more.
-FACTOR, LEAST = 2.0, 2.0
-#: Weight of the pairs' shared relative frequency in predicting the next word.
-SHARED = 0.95
-#: One in FOLD of the labelled rows is kept for the logistic curve; at most CURVE of these.
-FOLD, CURVE = 8, 4000
+#: Codes of words (alone, and as the one before) beside those of pairs; of a text's length.
+_ALONE, _BEFORE, _LENGTH = 1 << 62, 1 << 62 | 1 << 31, -1
 _HASH = 31
 _START = 1
-#: Labels of at most so many rows (16 bytes each: 64 MB) go to the documents; more of them meet in a shuffle by key.
-SENT = 1 << 22
+#: Bits of a class that mark in which texts an expression was.
+_MARKS = 32
+#: Bounds of expected shares: a pair of a single witness can't gain PAIR_GAIN within them.
+_EDGE = 1e-6
 #: Distinct pairs that are gathered before they are passed on.
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
 
 
 def stream(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -75,358 +79,223 @@ def stream(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield doc, before, word
 
 
-def pair_counts(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of words as one number each, and their counts in ordinary and in toxic texts."""
-    found, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _merged(parts: list[Counts]) -> Counts:
+    """Counts by distinct pair."""
+    pair, c0, c1, marks = (np.concatenate(x) for x in zip(*parts))
+    if not len(pair):
+        return pair, c0, c1, marks
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+    return pair[at], np.add.reduceat(c0[order], at), np.add.reduceat(c1[order], at), np.bitwise_or.reduceat(marks[order], at)
+
+
+def pair_counts(texts: list[str], toxic: np.ndarray) -> Counts:
+    """Distinct pairs of words as one number each, their counts in ordinary and in toxic texts, and marks of these texts: of
+    ordinary ones in the lower _MARKS bits, of toxic ones in the others."""
+    parts: list[Counts] = [(*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))]
     for doc, before, word in stream(texts):
-        found.append(before << _HASH | word)
-        of.append(toxic[doc])
-    pairs, at = np.unique(np.concatenate(found), return_inverse=True)
-    of = np.concatenate(of)
-    return pairs, np.bincount(at[of == 0], minlength=len(pairs)), np.bincount(at[of == 1], minlength=len(pairs))
+        of = toxic[doc].astype(np.int64)
+        pair = before << _HASH | word
+        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+        least = np.minimum.reduceat(mix(pair.astype(np.uint64)), at) if len(doc) else np.zeros(0, np.uint64)
+        place = np.repeat(mix(least) % np.uint64(_MARKS), np.diff(np.append(at, len(doc)))) + np.uint64(_MARKS) * of.astype(np.uint64)
+        parts.append((pair, 1 - of, of, np.uint64(1) << place))
+    return _merged(parts)
 
 
 @dataclass
 class Model:
-    """Sorted word hashes with an unknown word at the end, sorted kept pairs, and what the formulas need of each."""
+    """Sorted codes and what each says, what any word says, and the curve."""
 
-    word: np.ndarray
-    low: np.ndarray
-    back: np.ndarray
-    pair: np.ndarray
-    high: np.ndarray
+    code: np.ndarray
+    value: np.ndarray
+    base: float
     slope: float = 1.0
     offset: float = 0.0
 
     def evidence(self, texts: list[str]) -> np.ndarray:
-        """log P_toxic - log P_ordinary of each text over its number of words; 0 for none."""
+        """log P_toxic - log P_ordinary of each text over its number of words."""
         total, n = np.zeros(len(texts)), np.zeros(len(texts))
         for doc, before, word in stream(texts):
-            v, w = self._index(before), self._index(word)
-            pair = v << 32 | w
-            at = np.minimum(np.searchsorted(self.pair, pair), max(len(self.pair) - 1, 0))
-            p = self.low[w] * self.back[v]
-            if len(self.pair):
-                p += np.where((self.pair[at] == pair)[:, None], self.high[at], 0)
-            total += np.bincount(doc, np.log(p[:, 1] / p[:, 0]), len(texts))
+            gain = self._says(word | _ALONE) + self._says(before | _BEFORE) + self._says(before << _HASH | word)
+            total += np.bincount(doc, gain, len(texts))
             n += np.bincount(doc, minlength=len(texts))
-        return total / np.maximum(n, 1)
+        return self.base + total / np.maximum(n, 1)
 
-    def _index(self, hashes: np.ndarray) -> np.ndarray:
-        unknown = len(self.word)
-        if not unknown:
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.word, hashes), unknown - 1)
-        return np.where(self.word[at] == hashes, at, unknown)
+    def _says(self, wanted: np.ndarray) -> np.ndarray:
+        if not len(self.code):
+            return np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(self.code, wanted), len(self.code) - 1)
+        return np.where(self.code[at] == wanted, self.value[at], 0.0)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return sigmoid(self.slope * self.evidence(texts) + self.offset)
 
 
-def _discount(expected: np.ndarray) -> np.ndarray:
-    """What is taken off a class's count: the shared counts account for it, or chance does."""
-    return FACTOR * expected + LEAST
+@dataclass
+class Wide:
+    """A model that is too large to send: its table (code, value)."""
 
+    table: DataFrame
+    base: float
+    slope: float = 1.0
+    offset: float = 0.0
 
-def build(word: pd.DataFrame, pair: pd.DataFrame) -> Model | None:
-    """The model of kept words (hash, the unknown one as null; k, k0, k1, n0, n1) and kept pairs (pair, c0, c1)."""
-    known = word[word.hash.notna()].sort_values("hash")
-    rest = word[word.hash.isna()][["k", "k0", "k1", "n0", "n1"]].sum()
-    hashes = known.hash.to_numpy(np.int64)
-    k, k0, k1, n0, n1 = (np.append(known[c].to_numpy(float), float(rest[c])) for c in ("k", "k0", "k1", "n0", "n1"))
-    if not k0.sum() or not k1.sum():
-        return None
-    shared = np.maximum(k, 0.5) / np.maximum(k, 0.5).sum()
-    low = np.empty((len(k), 2))
-    for c, kc in enumerate((k0, k1)):
-        main = np.maximum(kc - _discount(kc.sum() * shared), 0) / kc.sum()
-        low[:, c] = main + (1 - main.sum()) * shared
-    codes = pair.pair.to_numpy(np.int64)
-    first, second = codes >> _HASH, codes & ((1 << _HASH) - 1)
-    v, w = np.searchsorted(hashes, first), np.searchsorted(hashes, second)
-    inside = (v < len(hashes)) & (w < len(hashes))
-    inside[inside] = (hashes[v[inside]] == first[inside]) & (hashes[w[inside]] == second[inside])
-    v, w, counts = v[inside], w[inside], pair[["c0", "c1"]].to_numpy(float)[inside]
-    n = np.stack([n0, n1], 1)[v]
-    both = counts.sum(1) / np.maximum(n.sum(1), 1)
-    excess = np.maximum(counts - _discount(n * both[:, None]), 0) / np.maximum(n, 1)
-    high = SHARED * both[:, None] + (1 - SHARED) * excess
-    back = np.ones((len(k), 2))
-    for c in (0, 1):
-        back[:, c] -= np.bincount(v, high[:, c], len(k))
-    order = np.argsort(v << 32 | w)
-    return Model(hashes, low.astype(np.float32), np.maximum(back, 1e-6).astype(np.float32), (v << 32 | w)[order], high[order].astype(np.float32))
+    def evidence(self, texts: DataFrame) -> DataFrame:
+        """(h1, h2, evidence) of the distinct texts of column __text, named by two hashes."""
+        names = ["h1", "h2", "code", "times"]
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                whole, h1, h2 = strings(batch.column("__text")), batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+                every = np.arange(len(whole))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, np.full(len(whole), _LENGTH), np.zeros(len(whole), np.int64))], names=names)
+                for doc, before, word in stream(whole):
+                    n = np.bincount(doc, minlength=len(whole))
+                    of = np.concatenate([doc] * 3 + [every[n > 0]])
+                    code = np.concatenate([word | _ALONE, before | _BEFORE, before << _HASH | word, np.full((n > 0).sum(), _LENGTH)])
+                    times = np.concatenate([np.ones(3 * len(doc), np.int64), n[n > 0]])
+                    order = np.lexsort((code, of))
+                    of, code = of[order], code[order]
+                    at = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (of[1:] != of[:-1])]))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[of[at]], h2[of[at]], code[at], np.add.reduceat(times[order], at))], names=names)
+
+        asked = _hashed(texts).mapInArrow(ask, "h1 long, h2 long, code long, times long")
+        said = asked.join(self.table, "code", "left")
+        # repeated texts count as often in both sums
+        total, n = F.sum(F.col("times") * F.coalesce("value", F.lit(0.0))), F.sum(F.when(F.col("code") == _LENGTH, F.col("times")).otherwise(0))
+        return said.groupBy("h1", "h2").agg((self.base + total / F.greatest(n, F.lit(1))).alias("evidence"))
+
+
+def _hashed(texts: DataFrame) -> DataFrame:
+    text = F.coalesce("__text", F.lit(""))
+    return texts.withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)})
 
 
 def curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit with a unit normal prior of the slope, by Newton's method."""
+    """Slope and offset of a logistic fit by Newton's method. Evidence is measured in distances of the classes' medians, so that
+    single texts of extreme evidence don't flatten it; the slope in that measure has a normal prior of deviation 8."""
     if not len(evidence) or toxic.min() == toxic.max():
         return 1.0, 0.0
-    scale = float(np.std(evidence)) or 1.0
-    x = np.stack([evidence / scale, np.ones(len(evidence))], 1)
-    beta, ridge = np.zeros(2), np.array([1.0, 1e-3])
-    for _ in range(50):
+    middle = np.median(evidence[toxic == 0])
+    scale = np.median(evidence[toxic == 1]) - middle
+    if scale <= 0:  # the evidence says nothing
+        return 0.0, float(np.log(toxic.mean() / (1 - toxic.mean())))
+    x = np.stack([(evidence - middle) / scale, np.ones(len(evidence))], 1)
+    beta, ridge = np.zeros(2), np.array([1 / 64, 1e-3])
+    for _ in range(100):
         p = sigmoid(x @ beta)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (toxic - p) - ridge * beta)
-        beta += np.clip(step, -4, 4)
+        beta += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    if beta[0] <= 0:  # the evidence says nothing
-        return 0.0, float(np.log(toxic.mean() / (1 - toxic.mean())))
-    return float(beta[0] / scale), float(beta[1])
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers by place of their bytes: what ascends or is small compresses."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
-
-
-def _numbers(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
-
-
-def _pack(mixed: np.ndarray) -> bytes:
-    return _planes(np.diff(mixed, prepend=np.uint64(0)))
+    return float(beta[0] / scale), float(beta[1] - beta[0] * middle / scale)
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(_numbers(data, np.uint64), dtype=np.uint64)
+def discount(ones: int, twos: int) -> float:
+    """The absolute discount of counts of which so many are 1 and 2."""
+    return min(ones / (ones + 2 * twos), 0.99) if ones else 0.5
 
 
-def _buckets(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
-    """Order and value of the mixed codes, and for each bucket with any: its number, begin and end."""
-    mixed = codes.astype(np.uint64) * _ODD
-    order = np.argsort(mixed)
-    mixed = mixed[order]
-    at = np.searchsorted(mixed, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-    ends = np.append(at[1:], len(mixed))
-    return order, mixed, [(i, int(x), int(y)) for i, (x, y) in enumerate(zip(at, ends)) if y > x]
+def _texts() -> list[Column]:
+    """Marks of ordinary and of toxic texts."""
+    return [F.bit_count(F.col("marks").bitwiseAND((1 << _MARKS) - 1)), F.bit_count(F.shiftrightunsigned("marks", _MARKS))]
 
 
-def _found(table: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The value of each wanted number by a sorted table; 0 where it isn't there."""
-    if not len(table):
-        return np.zeros(len(wanted))
-    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-    return np.where(table[at] == wanted, values[at], 0.0)
+def _witnessed(counts: str) -> list[Column]:
+    """The parts of toxic and ordinary counts that different texts witness, as many as the marks let expect; full marks tell of
+    any number."""
+    n = [F.when(x < _MARKS, F.greatest(x, -_MARKS * F.log1p(-x / _MARKS))).otherwise(F.col(f"{counts}{c}")) for c, x in enumerate(_texts())]
+    return [F.least(F.lit(1.0), x / F.col(f"{counts}{c}")) for c, x in enumerate(n)][::-1]
 
 
-def _corrections(counts: np.ndarray, n: np.ndarray, back: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """What counted pairs say beyond their words. All arrays: by pair and class."""
-    both = counts.sum(1) / np.maximum(n.sum(1), 1)
-    excess = np.maximum(counts - _discount(n * both[:, None]), 0) / np.maximum(n, 1)
-    alone = low * back
-    p = alone + SHARED * both[:, None] + (1 - SHARED) * excess
-    return np.log(p[:, 1] / p[:, 0]) - np.log(alone[:, 1] / alone[:, 0])
+def _gain(toxic: Column, ordinary: Column, share: Column, of_toxic: Column, of_ordinary: Column) -> Column:
+    """Nats by which the witnessed counts' own share of toxic ones beats the expected one."""
 
+    def term(n: Column, part: Column, expected: Column) -> Column:
+        return F.when(n > 0, n * part * F.log(n / ((toxic + ordinary) * expected))).otherwise(0.0)
 
-@dataclass
-class Sent:
-    """What executors hold of a wide model: frequent pairs, words that say something alone (None: they are in the table),
-    what any other word says, and a map of the table's codes."""
-
-    pair: np.ndarray
-    high: np.ndarray
-    word: np.ndarray | None
-    alone: np.ndarray
-    before: np.ndarray
-    other: float
-    map: np.ndarray
-
-    def parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Sum and number of words of each text by what is held, and the texts and codes to look up in the table."""
-        total, n, of, codes = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for doc, before, word in stream(texts):
-            pair = before << _HASH | word
-            gain = self.other + _found(self.pair, self.high, pair)
-            asked = [pair]
-            if self.word is None:
-                asked += [word | _ALONE, before | _BEFORE]
-            else:
-                gain += _found(self.word, self.alone, word) + _found(self.word, self.before, before)
-            total += np.bincount(doc, gain, len(texts))
-            n += np.bincount(doc, minlength=len(texts))
-            for x in asked:
-                place = (x.astype(np.uint64) * _ODD >> np.uint64(64 - MAP)).astype(np.int64)
-                maybe = (self.map[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                of.append(doc[maybe]), codes.append(x[maybe])
-        return total, n, np.concatenate(of), np.concatenate(codes)
+    return term(toxic, of_toxic, share) + term(ordinary, of_ordinary, 1 - share)
 
 
-@dataclass
-class Wide:
-    """A model that is too large to send: the written table (bucket, codes, value) of all that isn't frequent."""
+def _differs(toxic: Column, ordinary: Column, share: Column) -> Column:
+    odds = (toxic + 0.5) * (1 - share) / ((ordinary + 0.5) * share)
+    return (odds >= RATIO) | (odds <= 1 / RATIO)
 
-    sent: Sent
-    table: DataFrame
-    bits: int
-    slope: float = 1.0
-    offset: float = 0.0
 
-    def evidence(self, texts: DataFrame) -> DataFrame:
-        """(h1, h2, evidence) of the distinct texts of column __text, named by two hashes."""
-        sent, bits = texts.sparkSession.sparkContext.broadcast(self.sent), self.bits
-
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                whole, names = strings(batch.column("__text")), np.stack([batch.column(c).to_numpy() for c in ("h1", "h2")], 1)
-                for a, b in slices([len(x) for x in whole], 1 << 22):
-                    total, n, of, codes = sent.value.parts(whole[a:b])
-                    name = names[a:b]
-                    order, mixed, found = _buckets(codes, bits)
-                    of = of[order]
-                    out = [(int(name[0, 0]) & ((1 << bits) - 1), True, total.tobytes(), n.tobytes(), name.tobytes())]
-                    for i, x, y in found:
-                        docs, at = np.unique(of[x:y], return_inverse=True)
-                        out.append((i, False, _pack(mixed[x:y]), _planes(at.astype(np.uint32)), name[docs].tobytes()))
-                    for row in out:  # one by one: a row may be large
-                        yield pa.RecordBatch.from_pylist([dict(zip(asked.names, row))], schema=asked)
-
-        def answer(wanted: pa.Table, table: pa.Table) -> pa.Table:
-            codes, values = np.zeros(0, np.uint64), np.zeros(0)
-            for row in table.to_pylist():
-                codes, values = _unpack(row["codes"]), np.frombuffer(row["value"], np.float32)
-            name, part, n = [np.zeros((0, 2), np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
-            for batch in wanted.to_batches():
-                for row in batch.to_pylist():
-                    name.append(np.frombuffer(row["names"], np.int64).reshape(-1, 2))
-                    if row["own"]:
-                        part.append(np.frombuffer(row["codes"])), n.append(np.frombuffer(row["docs"], np.int64))
-                    else:
-                        part.append(np.bincount(_numbers(row["docs"], np.uint32), _found(codes, values, _unpack(row["codes"])), len(name[-1])))
-                        n.append(np.zeros(len(name[-1]), np.int64))
-            names = np.concatenate(name)
-            return pa.table({"h1": names[:, 0].copy(), "h2": names[:, 1].copy(), "part": np.concatenate(part), "n": np.concatenate(n)})
-
-        asked = pa.schema([("bucket", pa.int32()), ("own", pa.bool_()), ("codes", pa.binary()), ("docs", pa.binary()), ("names", pa.binary())])
-        rows = _hashed(texts).mapInArrow(ask, "bucket int, own boolean, codes binary, docs binary, names binary")
-        parts = rows.groupBy("bucket").cogroup(self.table.groupBy("bucket")).applyInArrow(answer, "h1 long, h2 long, part double, n long")
-        # repeated texts count as often in both sums
-        return parts.groupBy("h1", "h2").agg((F.sum("part") / F.greatest(F.sum("n"), F.lit(1))).alias("evidence"))
-
-
-def _hashed(texts: DataFrame) -> DataFrame:
-    text = F.coalesce("__text", F.lit(""))
-    return texts.withColumns({"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)})
-
-
-def _wide(pairs: DataFrame, by_word: DataFrame, n_pairs: int, n_words: int, least: int) -> Wide | None:
-    """The model of more words or pairs than are sent; pairs counted at least `least` times are at most KEEP."""
-    spark = pairs.sparkSession
-    k = F.greatest(F.col("k"), F.lit(0.5))
-    sums = by_word.agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"), (F.sum(k) + 0.5).alias("k")).first()
+def entries(pairs: DataFrame) -> tuple[DataFrame, float] | None:
+    """(code, value) of all that is kept, and what any word says, from (pair, c0, c1, marks); None if a class has no words."""
+    first, second = F.shiftright("pair", _HASH), F.col("pair").bitwiseAND((1 << _HASH) - 1)
+    zero, has = F.lit(0).cast("long"), lambda c: (F.col(c) > 0).cast("long")
+    roles = pairs.select(
+        F.inline(
+            F.array(
+                F.struct(first.alias("hash"), zero.alias("k"), zero.alias("k0"), zero.alias("k1"), F.col("c0").alias("n0"), F.col("c1").alias("n1"), zero.alias("marks")),
+                F.struct(second.alias("hash"), F.lit(1).cast("long").alias("k"), has("c0").alias("k0"), has("c1").alias("k1"), zero.alias("n0"), zero.alias("n1"), F.col("marks")),
+            )
+        )
+    )
+    word = table_cut(roles.groupBy("hash").agg(*[F.sum(c).alias(c) for c in ("k", "k0", "k1", "n0", "n1")], F.bit_or("marks").alias("marks")), "words")
+    ones = lambda names: [F.count_if(F.col(c) == i).alias(f"{c}_{i}") for c in names for i in (1, 2)]
+    sums = word.agg(*[F.sum(c).alias(c) for c in ("k", "k0", "k1")], *ones(("k0", "k1"))).first()
     if not sums["k0"] or not sums["k1"]:
         return None
-    discount = lambda expected: FACTOR * expected + LEAST
-    main = [F.greatest(F.col(f"k{c}") - discount(sums[f"k{c}"] * k / sums["k"]), F.lit(0.0)) / sums[f"k{c}"] for c in (0, 1)]
-    rest = by_word.agg(*[(1 - F.sum(m)).alias(f"r{c}") for c, m in enumerate(main)]).first()
-    # only pairs counted more than LEAST times in a class can be in excess
-    n = by_word.select(F.col("hash").alias("v"), "n0", "n1")
-    often = pairs.where(F.greatest("c0", "c1") > LEAST).withColumn("first", F.shiftright("pair", _HASH)).join(n, F.col("first") == F.col("v"))
-    both = (F.col("c0") + F.col("c1")) / (F.col("n0") + F.col("n1"))
-    excess = often.groupBy("v").agg(*[F.sum(F.greatest(F.col(f"c{c}") - discount(F.col(f"n{c}") * both), F.lit(0.0)) / F.greatest(F.col(f"n{c}"), F.lit(1))).alias(f"e{c}") for c in (0, 1)])
-    word = by_word.join(excess, by_word.hash == excess.v, "left").select(
-        "hash", "n0", "n1", *[(m + rest[f"r{c}"] * k / sums["k"]).alias(f"low{c}") for c, m in enumerate(main)],
-        *[F.when(F.col("n0") + F.col("n1") > 0, F.greatest((1 - SHARED) * (1 - F.coalesce(f"e{c}", F.lit(0.0))), F.lit(1e-6))).otherwise(1.0).alias(f"back{c}") for c in (0, 1)],
-        ((main[0] > 0) | (main[1] > 0) | (F.coalesce("e0", F.lit(0.0)) + F.coalesce("e1", F.lit(0.0)) > 0)).alias("says"),
+    of_pairs = pairs.agg(*ones(("c0", "c1"))).first()
+    d, e = ([discount(row[f"{c}{i}_1"], row[f"{c}{i}_2"]) for i in (0, 1)] for c, row in (("c", of_pairs), ("k", sums)))
+    toxic, ordinary, share = F.col("k1"), F.col("k0"), F.lit(sums["k1"] / (sums["k0"] + sums["k1"]))
+    own = [(F.greatest(F.col(f"k{c}") - e[c], F.lit(0.0)) / sums[f"k{c}"]).alias(f"own{c}") for c in (0, 1)]
+    kept = table_cut(word.where((_gain(toxic, ordinary, share, *_witnessed("k")) >= WORD_GAIN) & _differs(toxic, ordinary, share)).select("hash", "k", *own), "kept")
+    held = kept.agg(*[F.coalesce(F.sum(f"own{c}"), F.lit(0.0)).alias(f"own{c}") for c in (0, 1)]).first()
+    rest = [1 - held[f"own{c}"] for c in (0, 1)]
+    base = float(np.log(rest[1] / rest[0]))
+    low = [F.coalesce(f"own{c}", F.lit(0.0)) + rest[c] * F.col("k") / sums["k"] for c in (0, 1)]
+    alone = kept.select("hash", F.log(low[1] / low[0]).alias("log"))
+    # pairs: what their first word and the classes' words say is expected of them
+    some = pairs.where(F.greatest(*_texts()) > 1).withColumn("w", second)
+    some = some.join(word.select(F.col("hash").alias("v"), "n0", "n1"), first == F.col("v")).join(alone.withColumnRenamed("hash", "w"), "w", "left")
+    odds = F.col("n1") * F.exp(F.coalesce("log", F.lit(base)))
+    expected = F.greatest(F.least(odds / (odds + F.col("n0")), F.lit(1 - _EDGE)), F.lit(_EDGE))
+    toxic, ordinary = F.col("c1"), F.col("c0")
+    high = [F.when(F.col(f"n{c}") > 0, F.greatest(F.col(f"c{c}") - d[c], F.lit(0.0)) / F.col(f"n{c}")).otherwise(0.0).alias(f"high{c}") for c in (0, 1)]
+    chosen = some.where((_gain(toxic, ordinary, expected, *_witnessed("c")) >= PAIR_GAIN) & _differs(toxic, ordinary, expected))
+    chosen = table_cut(chosen.select("pair", "v", "w", *high), "pairs")
+    back = chosen.groupBy("v").agg(*[(1 - F.sum(f"high{c}")).alias(f"back{c}") for c in (0, 1)])
+    whole = chosen.join(back, "v").join(word.select(F.col("hash").alias("w"), "k"), "w").join(kept.select(F.col("hash").alias("w"), "own0", "own1"), "w", "left")
+    both = [F.col(f"high{c}") + F.col(f"back{c}") * low[c] for c in (0, 1)]
+    beyond = F.log(both[1] / both[0]) - F.log(F.col("back1") * low[1] / (F.col("back0") * low[0]))
+    parts = (
+        (alone, F.col("hash").bitwiseOR(F.lit(_ALONE)), F.col("log") - base),
+        (back, F.col("v").bitwiseOR(F.lit(_BEFORE)), F.log(F.col("back1") / F.col("back0"))),
+        (whole, F.col("pair"), beyond),
     )
-    word = table_cut(word, "words")
-    other = float(np.log(rest["r1"] / rest["r0"]))
-    says = word.where("says").select("hash", (F.log(F.col("low1") / F.col("low0")) - other).alias("alone"), F.log(F.col("back1") / F.col("back0")).alias("before"))
-    names = ["n0", "n1", "back0", "back1", "low0", "low1"]
-    count = F.col("c0") + F.col("c1")
-    if n_words <= WORDS:
-        known = word.select("hash", *names).toArrow().sort_by("hash")
-        held = spark.sparkContext.broadcast((known["hash"].to_numpy(), np.stack([known[c].to_numpy() for c in names], 1).astype(np.float32)))
-        rows = pairs
-    else:
-        held = None
-        first = word.select(F.col("hash").alias("v"), *names[:4])
-        second = word.select(F.col("hash").alias("w"), *names[4:])
-        rows = pairs.join(first, F.shiftright("pair", _HASH) == F.col("v")).join(second, F.col("pair").bitwiseAND((1 << _HASH) - 1) == F.col("w"))
-
-    def value(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        pair, counts = batch.column("pair").to_numpy(), np.stack([batch.column(c).to_numpy() for c in ("c0", "c1")], 1)
-        if held is None:
-            of = np.stack([batch.column(c).to_numpy() for c in names], 1)
-        else:
-            hashes, all_of = held.value
-            of = np.concatenate([all_of[np.searchsorted(hashes, pair >> _HASH), :4], all_of[np.searchsorted(hashes, pair & ((1 << _HASH) - 1)), 4:]], 1).astype(float)
-        return pair, _corrections(counts, of[:, :2], of[:, 2:4], of[:, 4:])
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, value(batch))], names=["pair", "high"])
-
-    head = rows.where(count >= least).mapInArrow(frequent, "pair long, high double").toPandas().sort_values("pair")
-    n_says = says.count()
-    bits = (max(BUCKETS, -(-(n_pairs + 2 * n_says) // BUCKET)) - 1).bit_length()
-
-    def cut_up(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        held_parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            codes, values = (np.concatenate(x) for x in zip(*held_parts))
-            held_parts.clear()
-            order, mixed, found = _buckets(codes, bits)
-            values = values[order].astype(np.float32)
-            for i, x, y in found:
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_pack(mixed[x:y])], pa.binary()), pa.array([values[x:y].tobytes()], pa.binary())], names=["bucket", "codes", "value"])
-
-        for part in parts:
-            held_parts.append(part)
-            if sum(len(x) for x, _ in held_parts) >= _FLUSH:
-                yield from out()
-        if held_parts:
-            yield from out()
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return cut_up(map(value, batches))
-
-    def saying(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return cut_up((b.column("hash").to_numpy() | o, b.column(c).to_numpy()) for b in batches for c, o in (("alone", _ALONE), ("before", _BEFORE)))
-
-    def merge(parts: pa.Table) -> pa.Table:
-        codes = np.concatenate([_unpack(x) for x in parts["codes"].to_pylist()])
-        values = np.concatenate([np.frombuffer(x, np.float32) for x in parts["value"].to_pylist()])
-        order = np.argsort(codes)
-        codes = codes[order]
-        bucket = parts["bucket"][0].as_py()
-        marks = np.zeros(1 << (MAP - bits), np.uint8)
-        marks[(codes >> np.uint64(64 - MAP)).astype(np.int64) - (bucket << (MAP - bits))] = 1
-        return pa.table({"bucket": pa.array([bucket], pa.int32()), "codes": pa.array([_pack(codes)], pa.binary()), "value": pa.array([values[order].tobytes()], pa.binary()), "map": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
-
-    blobs = rows.where(count < least).mapInArrow(rare, "bucket int, codes binary, value binary")
-    if n_says > KEEP:
-        blobs = blobs.unionByName(says.mapInArrow(saying, "bucket int, codes binary, value binary"))
-    table = table_cut(blobs.groupBy("bucket").applyInArrow(merge, "bucket int, codes binary, value binary, map binary"), "toxicity")
-    whole = np.zeros(1 << (MAP - 3), np.uint8)
-    for row in table.select("bucket", "map").toLocalIterator():
-        size = 1 << (MAP - bits - 3)
-        whole[row["bucket"] * size : (row["bucket"] + 1) * size] = np.frombuffer(row["map"], np.uint8)
-    alone = says.toPandas().sort_values("hash") if n_says <= KEEP else None
-    words_of = [None, np.zeros(0), np.zeros(0)] if alone is None else [alone[c].to_numpy() for c in ("hash", "alone", "before")]
-    return Wide(Sent(head["pair"].to_numpy(), head.high.to_numpy(), *words_of, other, whole), table.drop("map"), bits)
+    tables = [df.select(code.alias("code"), value.alias("value")) for df, code, value in parts]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2]), base
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | Wide | None:
-    """The model counted over all labelled rows; None if a class has none."""
+    """The model counted over all labelled rows but those of the curve; None if a class has none."""
     spark = docs.sparkSession
-    labelled = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(
-        F.col(key).alias("__key"), (F.col(label) > 0).cast("int").alias("__toxic"), F.pmod(F.xxhash64(key), F.lit(FOLD)).alias("__fold")
-    )
-    marked = F.broadcast(labelled) if labelled.count() <= SENT else labelled
+    labelled = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), (F.col(label) > 0).cast("int").alias("__toxic"), F.xxhash64(key).alias("__hash"))
+    size = labelled.count()
+    # the curve's keys are those of least hash
+    last = labelled.select("__hash").orderBy("__hash").limit(min(CURVE, max(size // SHARE, 1))).agg(F.max("__hash")).first()[0]
+    if last is None:
+        return None
+    for_curve = F.col("__hash") <= last
     texts = docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text"))
-    rows = texts.join(marked, F.col("__doc") == F.col("__key"))
+    rows = texts.join(F.broadcast(labelled) if size <= SENT else labelled, F.col("__doc") == F.col("__key"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[Counts] = []
 
         def out() -> pa.RecordBatch:
-            pairs, at = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            both = [np.bincount(at, np.concatenate([x[i] for x in held]), len(pairs)).astype(np.int64) for i in (1, 2)]
+            pair, c0, c1, marks = _merged(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs), *map(pa.array, both)], names=["pair", "c0", "c1"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, c0, c1, marks.view(np.int64))], names=["pair", "c0", "c1", "marks"])
 
         for batch in batches:
             held.append(pair_counts(strings(batch.column("__text")), batch.column("__toxic").to_numpy(zero_copy_only=False)))
@@ -435,51 +304,35 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         if held:
             yield out()
 
-    counted = rows.where(F.col("__fold") > 0).select("__text", "__toxic")
-    pairs = counted.mapInArrow(counts, "pair long, c0 long, c1 long").groupBy("pair").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
-    pairs = pairs.persist(StorageLevel.DISK_ONLY)
+    counted = rows.where(~for_curve).select("__text", "__toxic").mapInArrow(counts, "pair long, c0 long, c1 long, marks long")
+    pairs = counted.groupBy("pair").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.bit_or("marks").alias("marks")).persist(StorageLevel.DISK_ONLY)
     try:
-        total = pairs.agg(F.sum(F.col("c0") + F.col("c1"))).first()[0] or 0
-        least = max(2, -(-total // KEEP))
-        first, second, one = F.shiftright("pair", _HASH), F.col("pair").bitwiseAND((1 << _HASH) - 1), lambda c: (F.col(c) > 0).cast("long")
-        zero = F.lit(0).cast("long")
-        roles = pairs.select(
-            F.inline(
-                F.array(
-                    F.struct(first.alias("hash"), zero.alias("k"), zero.alias("k0"), zero.alias("k1"), F.col("c0").alias("n0"), F.col("c1").alias("n1")),
-                    F.struct(second.alias("hash"), F.lit(1).cast("long").alias("k"), one("c0").alias("k0"), one("c1").alias("k1"), zero.alias("n0"), zero.alias("n1")),
-                )
-            )
-        )
-        names = ("k", "k0", "k1", "n0", "n1")
-        by_word = roles.groupBy("hash").agg(*[F.sum(c).alias(c) for c in names])
-        by_word = table_cut(by_word.select("hash", *names), "words")
-        n_pairs, n_words = pairs.count(), by_word.count()
-        if max(n_pairs, n_words) <= KEEP:
-            model = build(by_word.toPandas(), pairs.toPandas())
-        else:
-            model = _wide(pairs, by_word, n_pairs, n_words, least)
+        found = entries(pairs)
+        table = None if found is None else table_cut(found[0], "toxicity")
     finally:
         pairs.unpersist()
-    if model is None:
+    if found is None:
         return None
-    # the keys are chosen among the labels, so no task gathers texts
-    chosen = F.broadcast(labelled.where(F.col("__fold") == 0).orderBy(F.xxhash64("__key"), "__key").limit(CURVE))
-    some = texts.join(chosen, F.col("__doc") == F.col("__key")).select("__text", "__toxic")
-
-    if isinstance(model, Wide):
+    # of keys that many rows share, too, at most CURVE texts are fitted
+    chosen = labelled.where(for_curve)
+    some = texts.join(F.broadcast(chosen) if size <= SENT else chosen, F.col("__doc") == F.col("__key")).select("__text", "__toxic")
+    some = some.withColumn("__h", F.xxhash64("__text")).orderBy("__h", "__toxic").limit(CURVE).drop("__h")
+    if table.count() > KEEP:
+        model = Wide(table, found[1])
         some = _hashed(table_cut(some, "curve"))
         seen = some.join(model.evidence(some.select("__text")), ["h1", "h2"]).select("evidence", F.col("__toxic").alias("toxic")).toPandas()
-        model.slope, model.offset = curve(seen.evidence.to_numpy(), seen.toxic.to_numpy())
-        return model
-    sent = spark.sparkContext.broadcast(model)
+    else:
+        rows = table.toPandas().sort_values("code")
+        model = Model(rows.code.to_numpy(), rows.value.to_numpy(), found[1])
+        sent = spark.sparkContext.broadcast(model)
 
-    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(sent.value.evidence(strings(batch.column("__text")))), batch.column("__toxic")], names=["evidence", "toxic"])
+        def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(sent.value.evidence(strings(batch.column("__text")))), batch.column("__toxic")], names=["evidence", "toxic"])
 
-    seen = some.mapInArrow(evidence, "evidence double, toxic int").toPandas()
-    model.slope, model.offset = curve(seen.evidence.to_numpy(), seen.toxic.to_numpy())
+        seen = some.mapInArrow(evidence, "evidence double, toxic int").toPandas()
+    seen = seen.sort_values(["evidence", "toxic"])
+    model.slope, model.offset = curve(seen.evidence.to_numpy(), seen.toxic.to_numpy(float))
     return model
 
 

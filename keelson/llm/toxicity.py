@@ -59,7 +59,7 @@ _ALONE, _BEFORE, _LENGTH = 1 << 62, 1 << 62 | 1 << 31, -1
 _HASH = 31
 _START = 1
 #: Bits of a class that mark in which texts an expression was.
-_MARKS = 32
+_MARKS = 16
 #: Bounds of expected shares: a pair of a single witness can't gain PAIR_GAIN within them.
 _EDGE = 1e-6
 #: Distinct pairs that are gathered before they are passed on.
@@ -96,14 +96,14 @@ def _merged(parts: list[Counts]) -> Counts:
 def pair_counts(texts: list[str], toxic: np.ndarray) -> Counts:
     """Distinct pairs of words as one number each, their counts in ordinary and in toxic texts, and marks of these texts: of
     ordinary ones in the lower _MARKS bits, of toxic ones in the others."""
-    parts: list[Counts] = [(*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64))]
+    parts: list[Counts] = [(*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.int32))]
     for doc, before, word in stream(texts):
         of = toxic[doc].astype(np.int64)
         pair = before << _HASH | word
         at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
         least = np.minimum.reduceat(mix(pair.astype(np.uint64)), at) if len(doc) else np.zeros(0, np.uint64)
-        place = np.repeat(mix(least) % np.uint64(_MARKS), np.diff(np.append(at, len(doc)))) + np.uint64(_MARKS) * of.astype(np.uint64)
-        parts.append((pair, 1 - of, of, np.uint64(1) << place))
+        place = np.repeat((mix(least) % np.uint64(_MARKS)).astype(np.uint32), np.diff(np.append(at, len(doc)))) + np.uint32(_MARKS) * of.astype(np.uint32)
+        parts.append((pair, 1 - of, of, (np.uint32(1) << place).view(np.int32)))
     return _merged(parts)
 
 
@@ -177,12 +177,13 @@ def _hashed(texts: DataFrame) -> DataFrame:
 
 
 def curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic fit by Newton's method. Evidence is measured in distances of the classes' medians, so that
-    single texts of extreme evidence don't flatten it; the slope in that measure has a normal prior of deviation 8."""
+    """Slope and offset of a logistic fit by Newton's method. Evidence is measured in distances of the toxic texts' upper quartile
+    from the ordinary ones' median, so that single texts of extreme evidence don't flatten it; the slope in that measure has
+    a normal prior of deviation 8."""
     if not len(evidence) or toxic.min() == toxic.max():
         return 1.0, 0.0
     middle = np.median(evidence[toxic == 0])
-    scale = np.median(evidence[toxic == 1]) - middle
+    scale = np.quantile(evidence[toxic == 1], 0.75) - middle
     if scale <= 0:  # the evidence says nothing
         return 0.0, float(np.log(toxic.mean() / (1 - toxic.mean())))
     x = np.stack([(evidence - middle) / scale, np.ones(len(evidence))], 1)
@@ -234,7 +235,7 @@ def entries(pairs: DataFrame) -> tuple[DataFrame, float] | None:
     roles = pairs.select(
         F.inline(
             F.array(
-                F.struct(first.alias("hash"), zero.alias("k"), zero.alias("k0"), zero.alias("k1"), F.col("c0").alias("n0"), F.col("c1").alias("n1"), zero.alias("marks")),
+                F.struct(first.alias("hash"), zero.alias("k"), zero.alias("k0"), zero.alias("k1"), F.col("c0").alias("n0"), F.col("c1").alias("n1"), F.lit(0).alias("marks")),
                 F.struct(second.alias("hash"), F.lit(1).cast("long").alias("k"), has("c0").alias("k0"), has("c1").alias("k1"), zero.alias("n0"), zero.alias("n1"), F.col("marks")),
             )
         )
@@ -295,7 +296,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         def out() -> pa.RecordBatch:
             pair, c0, c1, marks = _merged(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, c0, c1, marks.view(np.int64))], names=["pair", "c0", "c1", "marks"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, c0, c1, marks)], names=["pair", "c0", "c1", "marks"])
 
         for batch in batches:
             held.append(pair_counts(strings(batch.column("__text")), batch.column("__toxic").to_numpy(zero_copy_only=False)))
@@ -304,7 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         if held:
             yield out()
 
-    counted = rows.where(~for_curve).select("__text", "__toxic").mapInArrow(counts, "pair long, c0 long, c1 long, marks long")
+    counted = rows.where(~for_curve).select("__text", "__toxic").mapInArrow(counts, "pair long, c0 long, c1 long, marks int")
     pairs = counted.groupBy("pair").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"), F.bit_or("marks").alias("marks")).persist(StorageLevel.DISK_ONLY)
     try:
         found = entries(pairs)

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from keelson.operators.numbering import numbered
 from keelson.operators.predicates import compare, in_range
 
-#: Ranges that `locate` deals rows into; the bounds of so many are all that the driver sees.
-RANGES = 256
+#: Most ranges that `locate` deals rows into, and chunks in a range while there are fewer.
+RANGES, CHUNKS = 1 << 16, 16
 
 
 def chunks(df: DataFrame, keys: Sequence[str], size: int, table: str = "") -> DataFrame:
@@ -55,32 +55,36 @@ def _literal(values: Sequence[object], kind: T.StructType) -> Column:
     return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, kind, strict=True)])
 
 
-def _bucket(keys: Sequence[str], bounds: list[Sequence[object]], low: int = 0) -> Column:
-    """The number of bounds at or below the key, by a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(low)
-    mid = len(bounds) // 2
-    return F.when(compare(keys, "<", bounds[mid]), _bucket(keys, bounds[:mid], low)).otherwise(_bucket(keys, bounds[mid + 1 :], low + mid + 1))
+def _bucket(bounds: str, n: int) -> Column:
+    """How many of the first n of the ascending array `bounds` are at or below the struct column __at, by halving."""
+    steps = ", ".join(str(1 << i) for i in range(max(n, 1).bit_length() - 1, -1, -1))
+    return F.expr(f"aggregate(array({steps}), 0, (low, step) -> if(low + step <= {n} AND {bounds}[low + step - 1] <= __at, low + step, low))")
 
 
 def locate(rows: DataFrame, tiles: DataFrame, keys: Sequence[str], name: str = "chunk_id") -> DataFrame:
-    """rows with the id of the chunk that holds their key: a range join without a nested loop.
+    """rows with the id of the chunk that holds their key: a range join without a nested loop. Rows of a null key are of the
+    chunk below the least key.
 
-    Some of the chunks' starts are the bounds of ranges; rows and starts meet in their range, where the last start before
-    a row, in key order, names its chunk. Every range begins with a start, so nothing is carried between ranges."""
+    One in so many of the chunks' starts bounds a range: a range has CHUNKS chunks, or more where RANGES ranges are too few. The
+    bounds, at most RANGES, are sent to executors as one sorted array. Rows and starts meet in their range, where the last
+    start before a row, in key order, names its chunk. Every range begins with a start, so nothing is carried between ranges."""
     keys = list(keys)
     starts = tiles.where(F.col("start").isNotNull()).select("chunk_id", *[F.col(f"start.{k}").alias(k) for k in keys])
     count = starts.count()
     if not count:
         return rows.withColumn(name, F.lit(0).cast("long"))
-    step = -(-count // RANGES)
-    bounds = [tuple(r) for r in starts.where(F.col("chunk_id") % step == 1 % step).orderBy("chunk_id").select(*keys).collect()]
+    step = max(CHUNKS, -(-count // RANGES))
     kinds = {k: rows.schema[k].dataType for k in keys}
+    at = F.struct(*[F.col(k).cast(kinds[k]).alias(k) for k in keys])
+    bounds = starts.where(F.col("chunk_id") % step == 1 % step).select(at.alias("__b"))
+    n = bounds.count()
+    bounds = bounds.agg(F.array_sort(F.collect_list("__b"))).scalar()
     payload = F.struct(*rows.columns)
     marks = starts.select(*[F.col(k).cast(kinds[k]).alias(k) for k in keys], F.lit(None).cast(rows.select(payload.alias("p")).schema["p"].dataType).alias("__row"), F.col("chunk_id").alias("__chunk"))
     both = rows.select(*keys, payload.alias("__row"), F.lit(None).cast("long").alias("__chunk")).unionByName(marks)
     order = Window.partitionBy("__range").orderBy(*keys, F.col("__chunk").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__range", _bucket(keys, bounds)).withColumn("__of", F.last("__chunk", ignorenulls=True).over(order))
+    dealt = both.withColumn("__bounds", bounds).withColumn("__at", F.struct(*keys)).withColumn("__range", _bucket("__bounds", n)).drop("__bounds", "__at")
+    found = dealt.withColumn("__of", F.last("__chunk", ignorenulls=True).over(order))
     return found.where(F.col("__row").isNotNull()).select("__row.*", F.coalesce("__of", F.lit(0)).cast("long").alias(name))
 
 

@@ -5,15 +5,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.model import TableSpec
+from keelson.operators.diff import diff
+
 
 def windows(watermarks: DataFrame, task: str) -> DataFrame:
-    """(table_name, chunk_seq, low, high): transaction ordinals of a task's watermark pairs; unpaired ones are left out."""
+    """(table_name, chunk_seq, low, high): transaction ordinals of the last whole watermark pair of each of a task's chunks.
+
+    A high watermark closes the low one right before it; a low one that another follows, or none, is left out. A chunk's
+    watermarks are as few as its passes."""
     own = watermarks.where(F.col("task") == task)
-    both = own.groupBy("table_name", "chunk_seq").agg(F.min(F.when(F.col("low") == 1, F.col("txn_ordinal"))).alias("low"), F.max(F.when(F.col("high") == 1, F.col("txn_ordinal"))).alias("high"))
-    return both.where(F.col("low").isNotNull() & F.col("high").isNotNull())
+    order = Window.partitionBy("table_name", "chunk_seq").orderBy("txn_ordinal", F.col("high"))
+    marked = own.withColumn("__before", F.lag(F.struct("low", "txn_ordinal")).over(order))
+    pairs = marked.where((F.col("high") == 1) & (F.col("__before.low") == 1))
+    last = F.max(F.struct(F.col("txn_ordinal").alias("high"), F.col("__before.txn_ordinal").alias("low")))
+    return pairs.groupBy("table_name", "chunk_seq").agg(last.alias("p")).select("table_name", "chunk_seq", "p.low", "p.high")
+
+
+def watermarks(events: DataFrame, task: str) -> tuple[DataFrame, DataFrame]:
+    """The task's watermark rows (txn_ordinal, task, table_name, chunk_seq, low, high) of the watermark table's events, and the
+    events of other tasks, which are forwarded.
+
+    events: (txn_ordinal, type, rows). Deletions are dropped, as they only clean up; an event of several rows is an error."""
+    one = F.when(F.size("rows") > 1, F.raise_error(F.lit("a watermark event has more than one row"))).otherwise(F.get("rows", F.lit(0)))
+    rows = events.where("type <> 'delete'").withColumn("__row", one)
+    own = F.col("__row.task") == task
+    return rows.where(own).select("txn_ordinal", "__row.*"), rows.where(~F.coalesce(own, F.lit(False))).drop("__row")
+
+
+def repairs(snapshot: DataFrame, target: DataFrame, open_chunks: DataFrame, spec: TableSpec) -> DataFrame:
+    """The diff that makes the target's rows of the open chunks equal to the reconciled ones: (chunk_id, row) of reconcile()
+    against the target with its chunk_id."""
+    inside = target.join(open_chunks.select("chunk_id"), "chunk_id", "left_semi").drop("chunk_id")
+    return diff(snapshot.select("row.*"), inside, spec)
 
 
 def late(watermarks: DataFrame, known: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.model import chosen_tables
-from keelson.operators import progress
+from keelson.operators import lifecycle, progress
 from keelson.operators.numbering import numbered
 from keelson.plans.registry import query
 from keelson.sources.tables import TABLES, table
@@ -73,28 +73,62 @@ def pending_snapshot_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT t AS name FROM (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ") v(t) WHERE t NOT IN ('events', 'pages')")
 def table_filter(spark: SparkSession, sf: str) -> DataFrame:
-    names = [*TABLES, "_cloner_checkpoint", "_cloner_watermark"]
+    names = [*TABLES, "_keelson_checkpoint", "_keelson_watermark"]
     return spark.createDataFrame([(n,) for n in chosen_tables(names, ignored=["events", "pages"])], "name string")
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'purchase') GROUP BY event_type")
 def replicate_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Only events of known tables are replicated: here each type of event stands for a table."""
-    known = spark.createDataFrame([("click",), ("purchase",)], "event_type string")
-    return table(spark, sf, "events").join(F.broadcast(known), "event_type", "left_semi").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return lifecycle.replicated(table(spark, sf, "events"), ["click"], ["purchase"], "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT r_name AS name FROM region WHERE r_name NOT IN ('ASIA', 'EUROPE')")
 def snapshot_filter(spark: SparkSession, sf: str) -> DataFrame:
     """Control tables are never snapshot: here two regions stand for them."""
-    return table(spark, sf, "region").select(F.col("r_name").alias("name")).where(~F.col("name").isin("ASIA", "EUROPE"))
+    return lifecycle.snapshot_tables(table(spark, sf, "region").select(F.col("r_name").alias("name")), "AS.*", ["EUROPE"])
 
 
 @query("SELECT n_name AS name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
 def tables_left(spark: SparkSession, sf: str) -> DataFrame:
     """Tables whose snapshot isn't done: here nations without a rich supplier."""
     done = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"))
-    return table(spark, sf, "nation").join(done, "n_nationkey", "left_anti").select(F.col("n_name").alias("name"))
+    return lifecycle.tables_left(table(spark, sf, "nation"), done, "n_nationkey").select(F.col("n_name").alias("name"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click', 'error')")
+def control_tables_not_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of control tables are never written to a target: here two types of event stand for them."""
+    return lifecycle.without_control(table(spark, sf, "events"), "click|err.*", "event_type").select("event_id", "event_type")
+
+
+@query("SELECT event_id AS id, 'task1' AS task FROM events WHERE event_type <> 'error' AND user_id % 3 = 1 AND event_id % 3 <> 0")
+def snapshot_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests of a task in the change log; a time of zero is none, deletions aren't requests."""
+    e = table(spark, sf, "events")
+    started = F.when(F.col("event_id") % 3 == 0, F.lit("2024-01-01 00:00:00").cast("timestamp")).when(F.col("event_id") % 3 == 1, F.timestamp_seconds(F.lit(0)))
+    row = F.struct(F.col("event_id").alias("id"), F.concat(F.lit("task"), (F.col("user_id") % 3).cast("string")).alias("task"), started.alias("started_at"))
+    return lifecycle.requests(e.select(F.when(F.col("event_type") == "error", "delete").otherwise("insert").alias("type"), row.alias("row")), "task1")
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'before' WHEN event_type = 'click' THEN 'now' END AS started_at FROM events")
+def requests_started(spark: SparkSession, sf: str) -> DataFrame:
+    """Clicks stand for requests that are started now, unless they were before."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type", F.when(F.col("event_id") % 3 == 0, "before").alias("started_at"))
+    return lifecycle.marked(e.drop("event_type"), e.where("event_type = 'click'"), "started_at", F.lit("now"))
+
+
+@query("WITH c AS (SELECT o_orderpriority AS \"table\", o_orderkey AS chunk_id, o_orderpriority < '3' OR (o_orderpriority < '5' AND o_orderkey % 2 = 0) AS done FROM orders) SELECT \"table\", count(*) AS chunks, count(*) FILTER (done) AS done, CASE WHEN count(*) FILTER (done) = 0 THEN 'waiting' WHEN count(*) FILTER (done) < count(*) THEN 'running' ELSE 'done' END AS state FROM c GROUP BY ALL")
+def snapshot_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders stand for chunks of tables named by priority."""
+    tiles = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("table"), F.col("o_orderkey").alias("chunk_id"))
+    done = tiles.where("`table` < '3' OR (`table` < '5' AND chunk_id % 2 = 0)")
+    return lifecycle.progress(tiles, done.unionByName(done.limit(10)))
+
+
+@query("SELECT sum(n)::BIGINT AS estimated_rows FROM (" + " UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in TABLES) + ")")
+def estimated_rows_in_all(spark: SparkSession, sf: str) -> DataFrame:
+    return estimated_rows(spark, sf).agg(F.sum("estimated_rows").alias("estimated_rows"))
 
 
 @query("""WITH p AS (SELECT o_orderstatus AS "table", count(*) AS rows, max(o_orderkey % 100 + 1)::DOUBLE AS seconds FROM orders GROUP BY o_orderstatus),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keelson.functions.shardhash import in_shard, shard_hash
 from keelson.model import coerced
-from keelson.operators.checksum import checksums, mismatched
+from keelson.operators.checksum import checksums, mismatched, row_sum
 from keelson.operators.chunking import chunks, locate, page, scan
 from keelson.operators.diff import diff, diff_via_checksum, flat, key_difference, no_diff, summary
 from keelson.operators.diff import diff_within as within
@@ -181,7 +181,7 @@ def keyset_page(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
-_CRC_TEXT = {"o_totalprice": "CAST(CAST(o_totalprice AS DECIMAL(38,2)) AS VARCHAR)", "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')"}
+_CRC_TEXT = {"o_orderdate": "strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f')"}
 
 
 def _crc(text: str) -> str:
@@ -194,7 +194,8 @@ _CELLS = " ".join(f"xor({_crc(_CRC_TEXT.get(c, f'CAST({c} AS VARCHAR)'))}," for
 @query(f"WITH crc AS (SELECT {_TABLE} AS x), c AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // {_SIZE} + 1 AS chunk_id, * FROM orders) SELECT chunk_id, count(*) AS n, bit_xor({_CELLS})::BIGINT AS checksum FROM c, crc GROUP BY chunk_id")
 def chunk_checksum_crc32(spark: SparkSession, sf: str) -> DataFrame:
     source = ORDERS.source(spark, sf)
-    return checksums(locate(source, chunks(source, ["o_orderkey"], _SIZE), ["o_orderkey"]), list(ORDERS.columns), "crc32")
+    sums = source.select("o_orderkey", row_sum(source, list(ORDERS.columns), "crc32").alias("__sum"))
+    return checksums(locate(sums, chunks(source, ["o_orderkey"], _SIZE), ["o_orderkey"]), None)
 
 
 _BY_CHUNK = f"WITH {ORDERS.sql}, c AS ({_ORDER_CHUNKS}), d AS ({_plain(ORDERS)}) SELECT DISTINCT c.chunk_id FROM d JOIN c ON (c.start_o_orderkey IS NULL OR d.o_orderkey >= c.start_o_orderkey) AND (c.end_o_orderkey IS NULL OR d.o_orderkey < c.end_o_orderkey)"
@@ -204,7 +205,8 @@ _BY_CHUNK = f"WITH {ORDERS.sql}, c AS ({_ORDER_CHUNKS}), d AS ({_plain(ORDERS)})
 def checksum_mismatched_chunks(spark: SparkSession, sf: str) -> DataFrame:
     source, target = ORDERS.both(spark, sf)
     tiles = chunks(source, ["o_orderkey"], _SIZE, "orders")
-    return mismatched(locate(source, tiles, ["o_orderkey"]), locate(target, tiles, ["o_orderkey"]), list(ORDERS.columns))
+    sums = [x.select("o_orderkey", row_sum(x, list(ORDERS.columns)).alias("__sum")) for x in (source, target)]
+    return mismatched(*(locate(x, tiles, ["o_orderkey"]) for x in sums), None)
 
 
 @query(_plain(ORDERS))
@@ -234,6 +236,43 @@ def swap_missed_by_crc32(spark: SparkSession, sf: str) -> DataFrame:
     return flat(diff_via_checksum(*_swapped(spark, sf), replace(ORDERS.spec, name="region", keys=("r_regionkey",)), "crc32"))
 
 
+@query("""SELECT 'update' AS type, o_orderkey FROM orders WHERE (o_orderkey % 7 <> 0 AND o_orderkey % 11 = 0) OR (o_orderkey % 7 = 0 AND o_orderkey % 3 = 0)
+OR o_orderkey % 13 = 0 OR o_orderkey % 17 = 0 OR o_orderkey % 19 = 0""")
+def diff_mixed_types(spark: SparkSession, sf: str) -> DataFrame:
+    """The target has fractions for whole numbers, times for texts and texts for numbers: what reading them in the source's types
+    would lose, and what can't be read, are differences; the same number as a text is none."""
+    o, k = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("at")), F.col("o_orderkey")
+    at, number = F.date_format("at", "yyyy-MM-dd HH:mm:ss"), F.when(k % 7 != 0, k % 1000)
+    source = o.select("o_orderkey", number.cast("int").alias("number"), at.alias("at"), (k * 3).alias("code"))
+    more = number.cast("double") + F.when(k % 11 == 0, 0.5).otherwise(0.0)
+    target = o.select(
+        k.cast("string").cast("binary").alias("o_orderkey"),
+        F.when((k % 7 == 0) & (k % 3 == 0), F.lit(float(1 << 40))).otherwise(more).alias("number"),
+        F.when(k % 13 == 0, F.timestamp_micros(F.unix_micros("at") + 500_000)).otherwise(F.col("at")).alias("at"),
+        F.when(k % 17 == 0, "abc").when(k % 19 == 0, F.concat((k * 3).cast("string"), F.lit(".7"))).otherwise((k * 3).cast("string")).alias("code"),
+    )
+    return diff(source, target, ORDERS.spec).select("type", "o_orderkey")
+
+
+@query("SELECT 'update' AS type, o_orderkey FROM orders WHERE o_orderkey % 53 = 0 OR o_orderkey % 71 = 0")
+def crc32_sees_small_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of a thousandth and of a tenth of a second, through the CRC32 gate."""
+    k = F.col("o_orderkey")
+    source = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("timestamp").alias("at"))
+    target = source.withColumn("o_totalprice", F.col("o_totalprice") + F.when(k % 53 == 0, 0.001).otherwise(0.0))
+    target = target.withColumn("at", F.when(k % 71 == 0, F.timestamp_micros(F.unix_micros("at") + 100_000)).otherwise(F.col("at")))
+    return diff_via_checksum(source, target, ORDERS.spec, "crc32").select("type", "o_orderkey")
+
+
+@query("SELECT 'update' AS type, NULL::BIGINT AS n_nationkey, n_regionkey + 1 AS n_regionkey FROM nation WHERE n_nationkey = 0 UNION ALL SELECT 'delete', n_nationkey, n_regionkey FROM nation WHERE n_nationkey = 7")
+def diff_null_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """A row without a key is found again: here its number differs, and another row is in the target alone."""
+    n = table(spark, sf, "nation").select(F.when(F.col("n_nationkey") > 0, F.col("n_nationkey")).cast("long").alias("n_nationkey"), F.col("n_regionkey").cast("long").alias("n_regionkey"))
+    source = n.where("n_nationkey IS NULL OR n_nationkey <> 7").withColumn("n_regionkey", F.col("n_regionkey") + F.col("n_nationkey").isNull().cast("int"))
+    found = diff(source, n, replace(ORDERS.spec, name="nation", keys=("n_nationkey",)))
+    return found.select("type", "n_nationkey", "row.n_regionkey")
+
+
 @query()
 def shard_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", F.lower(F.lpad(F.hex(shard_hash(F.col("c_custkey"))), 16, "0")).alias("hash"))

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from keelson.model import TableSpec
 from keelson.operators import causality, changelog, reconcile
-from keelson.operators.diff import diff, flat
+from keelson.operators.diff import flat
 from keelson.plans.inputs import LOG_SQL, SEED_SQL, diff_sql, log, seed
 from keelson.plans.registry import query
 from keelson.sources.shared import fresh_dir
 from keelson.sources.tables import table
-from keelson.streaming.apply import VersionedTable, apply_stream, reconcile_stream
+from keelson.streaming.apply import VersionedTable, apply_stream, passthrough_stream, reconcile_stream, state_store
 
 _KEY = ["user_id"]
 
@@ -89,6 +89,18 @@ def reconcile_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.reconcile(_reads(changes), changes, _windows(changes), _KEY).select("chunk_id", "row.*")
 
 
+@query(f"WITH {LOG_SQL} SELECT user_id, txn_ordinal AS at, kind <> 'delete' AS live FROM e WHERE NOT (txn_ordinal > 100 + 40 * (user_id // 20) AND txn_ordinal <= 130 + 40 * (user_id // 20))")
+def stream_passthrough(spark: SparkSession, sf: str) -> DataFrame:
+    """The changes that no open chunk takes in, as a stream of them."""
+    changes = _changes(spark, sf)
+    rows = changes.select("chunk_id", F.col("order.txn_ordinal").alias("at"), "user_id", "live")
+    where, out = _as_files(spark, rows, "at"), fresh_dir(spark, "forwarded")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    forwarded = passthrough_stream(stream, _windows(changes)).select("user_id", "at", "live")
+    forwarded.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_dir(spark, "progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(forwarded.schema).parquet(out)
+
+
 @query(f"WITH {LOG_SQL} SELECT user_id, txn_ordinal, CAST(mutation_idx AS INTEGER) AS mutation_idx, kind <> 'delete' AS live FROM e WHERE NOT (txn_ordinal > 100 + 40 * (user_id // 20) AND txn_ordinal <= 130 + 40 * (user_id // 20))")
 def reconcile_passthrough(spark: SparkSession, sf: str) -> DataFrame:
     changes = _changes(spark, sf)
@@ -111,6 +123,25 @@ def watermark_windows(spark: SparkSession, sf: str) -> DataFrame:
     return reconcile.windows(_watermarks(spark, sf), "main")
 
 
+@query(f"WITH {_MARKS} SELECT chunk_seq, min(txn_ordinal) AS low, max(txn_ordinal) AS high FROM m WHERE task = 'main' GROUP BY chunk_seq")
+def watermark_windows_of_passes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every chunk had a pass before, 50 transactions earlier, and a low watermark of one that was never ended: the last pass counts."""
+    marks = _watermarks(spark, sf)
+    earlier = marks.withColumn("txn_ordinal", F.col("txn_ordinal") - 50)
+    broken = marks.where("low = 1").withColumn("txn_ordinal", F.col("txn_ordinal") - 5)
+    return reconcile.windows(marks.unionByName(earlier).unionByName(broken), "main").select("chunk_seq", "low", "high")
+
+
+@query("SELECT event_id AS txn_ordinal, user_id AS chunk_seq, CAST(event_id % 2 AS INTEGER) AS low FROM events WHERE event_type <> 'error' AND user_id % 3 = 0")
+def watermark_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of the watermark table: deletions say nothing, those of other tasks are forwarded."""
+    side = (F.col("event_id") % 2).cast("int")
+    row = F.struct(F.concat(F.lit("task"), (F.col("user_id") % 3).cast("string")).alias("task"), F.lit("t").alias("table_name"), F.col("user_id").alias("chunk_seq"), side.alias("low"), (1 - side).alias("high"))
+    kind = F.when(F.col("event_type") == "error", "delete").otherwise("insert")
+    events = table(spark, sf, "events").select(F.col("event_id").alias("txn_ordinal"), kind.alias("type"), F.array(row).alias("rows"))
+    return reconcile.watermarks(events, "task0")[0].select("txn_ordinal", "chunk_seq", "low")
+
+
 @query(f"WITH {_MARKS} SELECT chunk_seq, txn_ordinal FROM m WHERE chunk_seq % 3 = 0")
 def late_watermarks(spark: SparkSession, sf: str) -> DataFrame:
     marks = _watermarks(spark, sf)
@@ -123,9 +154,9 @@ def repair_mutations(spark: SparkSession, sf: str) -> DataFrame:
     """What makes the target's chunks equal to the reconciled ones."""
     changes = _changes(spark, sf)
     windows = _windows(changes)
-    snapshot = reconcile.reconcile(_reads(changes), changes, windows, _KEY).select("row.*")
-    target = seed(spark, sf).withColumn("chunk_id", F.expr("user_id div 20")).join(windows, "chunk_id", "left_semi").drop("chunk_id")
-    return flat(diff(snapshot, target, TableSpec("users", ("user_id",))))
+    snapshot = reconcile.reconcile(_reads(changes), changes, windows, _KEY)
+    target = seed(spark, sf).withColumn("chunk_id", F.expr("user_id div 20"))
+    return flat(reconcile.repairs(snapshot, target, windows, TableSpec("users", ("user_id",))))
 
 
 @query("SELECT DISTINCT user_id // 20 AS chunk_id, user_id // 20 // 3 AS round FROM events")
@@ -178,7 +209,7 @@ def _as_files(spark: SparkSession, rows: DataFrame, ordinal: str, files: int = 6
 def stream_apply(spark: SparkSession, sf: str) -> DataFrame:
     events = log(spark, sf)
     where = _as_files(spark, events, "txn_ordinal")
-    state = VersionedTable(spark, fresh_dir(spark, "state"))
+    state = VersionedTable(spark, fresh_dir(spark, "state"), _KEY, buckets=4)
     state.start(seed(spark, sf))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(where)
     apply_stream(stream, state, _KEY, fresh_dir(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
@@ -201,6 +232,7 @@ def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     )
     where, out = _as_files(spark, rows, "at"), fresh_dir(spark, "chunks")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(where)
-    reconcile_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_dir(spark, "progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    with state_store(spark):
+        reconcile_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_dir(spark, "progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema("chunk_id long, key string, row string").parquet(out)
     return found.select("chunk_id", F.from_json("row", "user_id long, event_type string, value double").alias("r")).select("chunk_id", "r.*")

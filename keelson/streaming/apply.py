@@ -2,48 +2,129 @@
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from keelson.operators.changelog import apply_net, images, net
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Setting and value that reconcile_stream needs.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 class VersionedTable:
-    """A table as a folder of Parquet versions, one for each micro-batch: writing a batch twice gives the same version."""
+    """A table as buckets of keys in Parquet, with a version for each micro-batch.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    A batch rewrites the buckets that it touches; a version is a manifest (one line of JSON) of where each bucket's rows lie and
+    up to which transaction they are applied, renamed into place when all of it is written: position and rows are committed
+    together. Writing a batch twice gives the same version, and transactions that a version has are left out of later ones,
+    so that a log read again from an older position is applied once. Buckets that none of the last `keep` versions has are
+    deleted. A bucket should fit a task: choose as many buckets as the table has GB, or more."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = (), buckets: int = 64, keep: int = 2) -> None:
+        self.spark, self.path, self.keys, self.buckets, self.keep = spark, path.rstrip("/"), list(keys), buckets, max(keep, 2)
+        self._jvm = spark._jvm
+        self._folder = self._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, *names: str):
+        return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
+
+    def _names(self, *folder: str) -> list[str]:
+        at = self._at(*folder)
+        return [f.getPath().getName() for f in self._files.listStatus(at)] if self._files.exists(at) else []
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int") if self.keys else F.lit(0)
 
     def start(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v=-1")
+        self._write(rows, -1, {}, range(self.buckets), -1)
+
+    def versions(self) -> list[int]:
+        return sorted(int(x[9:-5]) for x in self._names() if x.startswith("manifest-") and x.endswith(".json"))
 
-    def read(self, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={version}")
+    def manifest(self, version: int) -> dict:
+        stream = self._files.open(self._at(f"manifest-{version}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+    def read(self, version: int, buckets: Sequence[int] | None = None) -> DataFrame:
+        found = self.manifest(version)
+        wanted = found["of"] if buckets is None else {str(b): found["of"][str(b)] for b in buckets if str(b) in found["of"]}
+        schema = T.StructType.fromJson(found["schema"])
+        paths = [f"{self.path}/v={v}/bucket={b}" for b, v in wanted.items()]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def latest(self) -> DataFrame:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
-        return self.read(max(int(f.getPath().getName()[2:]) for f in files if f.getPath().getName().startswith("v=")))
+        return self.read(self.versions()[-1])
+
+    def position(self, version: int) -> int:
+        return self.manifest(version)["position"]
+
+    def write(self, change: Callable[[DataFrame], DataFrame], touched: Sequence[int], version: int, position: int = -1) -> None:
+        """The version after the one before it, whose touched buckets become change(their rows)."""
+        before = self.manifest(version - 1)
+        self._write(change(self.read(version - 1, touched)), version, before["of"], touched, max(position, before["position"]))
+
+    def _write(self, rows: DataFrame, version: int, of: dict, touched: Sequence[int], position: int) -> None:
+        dealt = rows.withColumn("bucket", self.bucket()).repartition("bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
+        written = {int(x[7:]) for x in self._names(f"v={version}") if x.startswith("bucket=")}
+        now = {b: v for b, v in of.items() if int(b) not in set(touched)} | {str(b): version for b in sorted(written)}
+        line = json.dumps({"position": position, "schema": rows.schema.jsonValue(), "of": now})
+        temporary, final = self._at(f"manifest-{version}.json.tmp"), self._at(f"manifest-{version}.json")
+        out = self._files.create(temporary, True)
+        try:
+            out.write(bytearray(line.encode()))
+        finally:
+            out.close()
+        self._files.delete(final, False)
+        if not self._files.rename(temporary, final):
+            raise OSError(f"version {version} can't be committed")
+        self._expire()
+
+    def _expire(self) -> None:
+        all_versions = self.versions()
+        kept = all_versions[-self.keep :]
+        used = {(str(v), b) for k in kept for b, v in self.manifest(k)["of"].items()}
+        for v in (x[2:] for x in self._names() if x.startswith("v=")):
+            if int(v) in kept:
+                continue
+            own = [x for x in self._names(f"v={v}") if x.startswith("bucket=")]
+            gone = [x for x in own if (v, x[7:]) not in used]
+            for x in gone:
+                self._files.delete(self._at(f"v={v}", x), True)
+            if len(gone) == len(own):
+                self._files.delete(self._at(f"v={v}"), True)
+        for v in all_versions[: -self.keep]:
+            self._files.delete(self._at(f"manifest-{v}.json"), False)
 
 
 def apply_batch(table: VersionedTable, keys: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function. Of each micro-batch only the last change of a key is joined to the table, so the order of
-    transactions inside it, and their causality, are kept without running them one by one."""
+    """A foreachBatch function. Of each micro-batch only the last change of a key is joined to the buckets that it touches, so the
+    order of transactions inside it, and their causality, are kept without running them one by one."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        table.write(apply_net(table.read(batch_id - 1), net(images(batch, keys), keys), keys), batch_id)
+        done = table.position(batch_id - 1)
+        last = net(images(batch.where(F.col("txn_ordinal") > done), keys), keys).withColumn("__bucket", table.bucket()).persist()
+        try:
+            # as many numbers as there are buckets, at most
+            touched = [r[0] for r in last.select("__bucket").distinct().collect()]
+            top = batch.agg(F.max("txn_ordinal")).first()[0]
+            table.write(lambda rows: apply_net(rows, last.drop("__bucket"), keys), touched, batch_id, done if top is None else top)
+        finally:
+            last.unpersist()
 
     return run
 
@@ -53,6 +134,27 @@ def apply_stream(events: DataFrame, table: VersionedTable, keys: Sequence[str],
     return events.writeStream.foreachBatch(apply_batch(table, keys)).option("checkpointLocation", checkpoint)
 
 
+def supervise(start: Callable[[], StreamingQuery], restarts: int = 10, least_seconds: float = 0.1, most_seconds: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> StreamingQuery:
+    """Run a query until it ends by itself, starting it again from its checkpoint when it fails.
+
+    The wait before a restart doubles, up to most_seconds; a run that got any batch done resets it. After `restarts` failures
+    without progress between them the last one is raised."""
+    failures, wait = 0, least_seconds
+    while True:
+        running = start()
+        try:
+            running.awaitTermination()
+            return running
+        except StreamingQueryException:
+            if any(p["numInputRows"] for p in running.recentProgress):
+                failures, wait = 0, least_seconds
+            failures += 1
+            if failures > restarts:
+                raise
+            sleep(wait)
+            wait = min(wait * 2, most_seconds)
+
+
 class _Chunk(StatefulProcessor):
     """One chunk's rows, kept from its read until the high watermark passes; a pair may straddle micro-batches.
 
@@ -86,10 +188,22 @@ class _Chunk(StatefulProcessor):
         pass
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """The session with RocksDB as its state store, and as it was afterwards."""
+    name, wanted = STATE_STORE
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, wanted)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def reconcile_stream(events: DataFrame) -> DataFrame:
     """(chunk_id, key, row) of each chunk when its high watermark passes. events: chunk_id and the columns of _Chunk; changes
-    are routed to their chunk before (see locate). Chunks without an open window keep no state."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    are routed to their chunk before (see locate). Chunks without an open window keep no state. The session's state store must
+    be RocksDB's when the query starts (STATE_STORE); see state_store."""
     out = T.StructType().add("chunk_id", "long").add("key", "string").add("row", "string")
     return events.groupBy("chunk_id").transformWithStateInPandas(_Chunk(), outputStructType=out, outputMode="Append", timeMode="None")
 

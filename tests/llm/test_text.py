@@ -119,6 +119,12 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
 
 
+def test_components_of_a_hub_and_of_nothing(spark):
+    hub = spark.range(1, 3000).selectExpr("id as a", "0L as b").unionByName(spark.range(1, 500).selectExpr("id as a", "id + 5000 as b"))
+    assert {r["root"] for r in components(hub).collect()} == {0} and components(hub).count() == 3000 + 499
+    assert components(hub.where("false")).count() == 0
+
+
 def test_main_text_of_held_out_layouts():
     pages = labelled_pages.pages(150, seed=99)
     blocks, labels = html.labelled(pages)

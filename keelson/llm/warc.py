@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by page: the bounds of the shards are quantiles of a bounded sample of rows of smallest hash, so
-the same table gives the same shards however it is partitioned. One task writes a shard: it regenerates every record's
+Records are range-sorted by page: the bounds of the shards are quantiles, by bytes, of the page ids of smallest hash, some
+SAMPLE of them and SPLITS for each shard, so the same table gives the same shards however it is partitioned. Rows of one id
+are never apart; rows without an id are dealt to shards of their own by digest. One task writes a shard: it regenerates every record's
 headers and digests, rolls to a new file once the compressed size reaches `roll_bytes`, writes under a temporary name
 and renames a finished file, then commits the shard by renaming its manifest. The driver commits the archive by a
 manifest of all shards; the reader reads what that names. A task that runs again writes the same bytes.
@@ -30,9 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SAMPLE = 20_000
+#: Page ids that are sampled at least, and for each shard: what the driver holds.
+SAMPLE, SPLITS = 20_000, 16
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SALTS = 16
+#: Bytes of a record beside its payload, about.
+RECORD = 700
 
 
 def base32_sha1(data: bytes) -> str:
@@ -109,24 +113,42 @@ def _revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
     return found.select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
 
 
+def _bounds(narrow: DataFrame, n: int, shards: int) -> np.ndarray:
+    """Page ids that cut the table into about so many ranges of equal bytes."""
+    if shards < 2:
+        return np.zeros(0, np.int64)
+    # all rows of the ids whose hash is small: as many ids as are wanted, or fewer if rows share ids
+    part = min(1.0, max(SAMPLE, SPLITS * shards) / n)
+    some = narrow.where(F.shiftrightunsigned(F.xxhash64("page_id"), 11) <= int(part * (1 << 53)))
+    ids = some.groupBy("page_id").agg(F.sum(F.col("size") + RECORD).alias("bytes")).toPandas().sort_values("page_id")
+    up_to = ids.bytes.to_numpy().cumsum()
+    if not len(up_to):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(up_to, up_to[-1] * np.arange(1, shards) / shards, "right")
+    return np.unique(ids.page_id.to_numpy(np.int64)[np.minimum(at, len(ids) - 1)])
+
+
 def write(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, shard_bytes: int = 24 << 20, roll_bytes: int = 8 << 20, date: str = "2000-01-01T00:00:00Z", level: int = 6) -> list[dict]:
     """Write the archive below uri, a folder that driver and executors share; the committed manifest's entries."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"), payload.alias("payload"))
     narrow = rows.select("page_id", "digest", "size")
-    total = narrow.agg(F.sum("size")).first()[0] or 0
-    sample = narrow.orderBy(F.xxhash64("page_id", "digest")).limit(SAMPLE).select("page_id").toPandas().page_id.dropna().astype("int64").sort_values().to_numpy()
-    shards = max(1, -(-total // shard_bytes))
-    bounds = np.unique(sample[[len(sample) * i // shards for i in range(1, shards)]]) if len(sample) else np.zeros(0, np.int64)
-    shards = len(bounds) + 1
+    no_id = F.col("page_id").isNull()
+    sums = narrow.agg(F.count("page_id").alias("n"), F.sum(F.when(~no_id, F.col("size") + RECORD)).alias("bytes"), F.sum(F.when(no_id, F.col("size") + RECORD)).alias("null_bytes")).first()
+    wanted, nameless = (-(-(sums[c] or 0) // shard_bytes) for c in ("bytes", "null_bytes"))
+    bounds = _bounds(narrow.where(~no_id), sums["n"], wanted)
+    shards = nameless + (len(bounds) + 1 if wanted else 0)
+    if not shards:
+        nameless = shards = 1
 
     @F.pandas_udf(T.IntegerType())
-    def shard_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right")).astype(np.int32))
+    def shard_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        own = np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right") + nameless
+        return pd.Series(np.where(ids.isna(), hashes.to_numpy(np.int64) % max(nameless, 1), own).astype(np.int32))
 
     marks = _revisits(narrow, least_bytes).select("page_id", F.lit(None).cast("string").alias("url"), "digest", F.lit(None).cast("binary").alias("payload"), "refers_to")
     both = rows.select("page_id", "url", "digest", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(marks)
-    dealt = both.withColumn("shard", shard_of("page_id")).repartitionById(shards, "shard")
+    dealt = both.withColumn("shard", shard_of("page_id", F.xxhash64("digest"))).repartitionById(shards, "shard")
     # the mark of a page precedes it
     ordered = dealt.sortWithinPartitions("shard", F.asc_nulls_first("page_id"), F.col("payload").isNotNull(), "digest", "url")
 
@@ -153,7 +175,8 @@ def write(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url", ht
     files, top = _open(uri)
     files.create_dir(top, recursive=True)
     # one line for each file: their number is the archive's size over roll_bytes
-    entries = [x.asDict() for x in ordered.mapInArrow(run, "file string, records long, bytes long, sha256 string").orderBy("file").collect()]
+    written = ordered.mapInArrow(run, "file string, records long, bytes long, sha256 string").collect()
+    entries = sorted((x.asDict() for x in written), key=lambda x: x["file"])
     _commit(files, f"{top}/MANIFEST.json", json.dumps({"files": entries}).encode())
     return entries
 

@@ -53,6 +53,7 @@ def test_warc_is_the_same_however_rows_lie(spark, pages, tmp_path):
     assert a == b
     assert warc.write(pages.where("false"), f"file://{tmp_path}/c") == [] and warc.read(spark, f"file://{tmp_path}/c").count() == 0
     warc.write(pages, f"file://{tmp_path}/d", least_bytes=10**9)
+    assert len({e["file"][:12] for e in a}) > 10
     assert warc.read(spark, f"file://{tmp_path}/d").where("record_type <> 'response'").count() == 0
 
 
@@ -108,6 +109,17 @@ def test_shards(spark, odd, nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.1, 0.5, 1.0])
+def test_repeated_rows_are_spread(spark, share):
+    """Rows that repeat both key and text are dealt alike to shards, and numbered."""
+    n = 3000
+    rows = [(7, "the same row " * 20) if i < share * n else (100 + i, f"text {i} " + "of its own " * 18) for i in range(n)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == n and len(sums) == 16 and sums.max() < 1.15 * sums.mean()
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard").slot)
+
+
 def test_place_takes_the_highest_dot_product():
     items = np.array([[4.0, 1, 1], [3, 1, 1], [2, 1, 1], [1, 1, 1]])
     assert sharding.place(items, 2).tolist() in ([0, 1, 1, 0], [1, 0, 0, 1])

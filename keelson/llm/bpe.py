@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -345,12 +345,13 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     return docs.withColumn(out, raw(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_tokens, ids_sha256 of the decimal ids joined by spaces, decoded_sha256 of the decoded bytes.
+def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", carried: Sequence[str] = ()) -> DataFrame:
+    """Per row: key, n_tokens, ids_sha256 of the decimal ids joined by spaces, decoded_sha256 of the decoded bytes, and the
+    carried columns.
 
     Ids and decoded bytes of a row are made and digested side by side, so they don't leave the worker."""
     sent, name = _shipped(docs, path)
-    kind = docs.schema[key].dataType.simpleString()
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *carried)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = built(sent.value, pattern, name)
@@ -363,7 +364,7 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                     n.append(len(ids))
                     of_ids.append(hashlib.sha256(" ".join(decimal[ids]).encode()).hexdigest())
                     of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), *[batch.column(f"__carried_{i}") for i in range(len(carried))]], names=[key, "n_tokens", "ids_sha256", "decoded_sha256", *carried])
 
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), *[F.col(c).alias(f"__carried_{i}") for i, c in enumerate(carried)])
+    return rows.mapInArrow(run, ", ".join([kinds[0], "n_tokens long, ids_sha256 string, decoded_sha256 string", *kinds[1:]]))

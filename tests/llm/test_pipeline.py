@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from keelson.llm import mixing, quality, registry, simhash, toxicity
-from keelson.llm.common import crc_mod, table
+from keelson.llm.common import crc_mod, fresh_dir, table
 
 DIR = "/root/testdata/sf0.001"
 
@@ -35,6 +35,18 @@ def test_stages_do_what_they_say(spark):
     assert {r["doc_id"] for r in registry.pipeline(spark, DIR).select("doc_id").collect()} == ids["tokens"]
 
 
+def test_the_mix_outlasts_being_written(spark):
+    """What run() returns has every document where the mix put it."""
+    kept = table(spark, DIR, "documents").repartition(5)
+    where = fresh_dir(spark, "mixed")
+    corpus_pipeline.mixed(spark, kept, DIR).write.parquet(where)
+    want = mixing.mix(kept, registry.MIX, block_rows=registry.BLOCK_ROWS).orderBy("slot", "in_block").collect()
+    got = corpus_pipeline.tokens(spark, spark.read.parquet(where), DIR).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(len(want)))
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in want]
+    assert sorted(r["position"] for r in registry.pipeline(spark, DIR).collect())[0] == 0
+
+
 def test_odd_documents_pass(spark, odd, nothing):
     for name, stage in corpus_pipeline.STAGES:
         for rows in (odd, nothing):

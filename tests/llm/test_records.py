@@ -79,6 +79,34 @@ def test_mix_stays_within_a_block(spark, sizes, weights):
         assert all(abs(done[x] - fluid[x]) < 1 for x in n)
 
 
+def _edf(blocks, weights):
+    """The sources of all slots: within the fluid schedule's windows, the earliest deadline first, by whole rounds."""
+    names, out, done = sorted(blocks), [], dict.fromkeys(blocks, 0)
+    for q in range(max(-(-n // weights.get(x, 1)) for x, n in blocks.items())):
+        c = [max(0, min(weights.get(x, 1), blocks[x] - q * weights.get(x, 1))) for x in names]
+        a = [weights.get(x, 1) for x in names]
+        used = lambda i, k: sum(min(a[j] * k, c[j] * a[i]) for j in range(len(a)))
+        taken = [0] * len(names)
+        for t in range(sum(c)):
+            ready = [(-(-used(i, taken[i] + 1) // a[i]), i) for i in range(len(names)) if taken[i] < c[i] and used(i, taken[i]) // a[i] <= t]
+            due, i = min(ready)
+            assert due > t
+            out.append((names[i], done[names[i]]))
+            done[names[i]] += 1
+            taken[i] += 1
+    return out
+
+
+@pytest.mark.parametrize("rows,weights", [({"a": 700, "b": 300, "c": 41}, {"a": 301, "b": 99, "c": 7}), ({f"s{i:03}": 5 + i % 7 for i in range(90)}, {"s000": 3}), ({"a": 50, "b": 50}, {"a": 400, "b": 200})])
+def test_mix_is_the_earliest_deadline_first(spark, rows, weights):
+    """Large weights and many sources, against a second implementation."""
+    df = spark.createDataFrame([(i * 10_000 + j, s) for i, (s, n) in enumerate(rows.items()) for j in range(n)], "doc_id long, source string")
+    got = mixing.mix(df, weights, block_rows=2).toPandas().drop_duplicates("slot").sort_values("slot")
+    # weights are in their lowest terms, with the default of 1 among them
+    want = _edf({s: -(-n // 2) for s, n in rows.items()}, weights)
+    assert list(zip(got.source, got.block)) == want
+
+
 def test_mix_of_odd_rows(odd, nothing):
     got = mixing.mix(odd, {"a": 2}, block_rows=2)
     assert got.count() == odd.count() and got.select("slot", "in_block").distinct().count() == odd.count()

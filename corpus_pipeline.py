@@ -44,8 +44,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of each document's token ids, and the digest of what they decode to."""
-    return bpe.digests(docs, public_tokenizers.path(registry.RANKS), public_tokenizers.PATTERN)
+    """Number and digest of each document's token ids, the digest of what they decode to, and the document's position in the mix,
+    as the files of the stage before have it."""
+    return bpe.digests(mixing.placed(docs), public_tokenizers.path(registry.RANKS), public_tokenizers.PATTERN, carried=["position"])
 
 
 STAGES = [

@@ -4,11 +4,12 @@ Components are turned into whole numbers, floor(SCALE x). A bounded head of the
 first bound from below of its k-th score. Then each block of vectors, longest first, is pruned by Cauchy-Schwarz: a
 query is done with the block when its length times the longest remaining one can't reach its bound; of what remains,
 coordinates rotated by an SVD give partial sums over the leading ones, and the lengths of the residuals bound the rest.
-Only pairs that may reach the bound are scored, exactly, in whole numbers. The rotation is fitted on a bounded sample
-(SAMPLE vectors of smallest key hash); any orthogonal one gives the same results.
+Only pairs that may reach the bound are scored, exactly, in whole numbers. The head is at most HEAD of the longest vectors by
+an approximate quantile, and the rotation is fitted on a bounded sample (SAMPLE keys of smallest hash); any head and any
+orthogonal rotation give the same results.
 
-Defined cases: vectors that are null, empty or hold null or non-finite components, rows without a key, and vectors of
-another width than most take no part; vectors of zero do; of rows that share a key all are candidates and one is a
+Defined cases: vectors that are null, empty or hold null or non-finite components and rows without a key take no part; a
+vector meets those of its own width; vectors of zero take part; of rows that share a key all are candidates and one is a
 query; a query's own key is never its result; equal scores go to the smaller key; other columns are never read.
 Components may be of any size: where scores could pass 2**53 they are made in exact (slower) integers."""
 
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.vectors import Best, Search, matrix, search, valid
+from keelson.llm.vectors import Best, Search, matrix, sample, search, valid
 
 SCALE = 256.0
 HEAD, SAMPLE, LEADING = 1024, 4096, 16
@@ -87,11 +88,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     rows = valid(vectors, key, vector, zero=True)
     squared = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
 
-    def make(width: int) -> Search:
-        fitting = rows.where(F.size("vector") == width)
-        head = fitting.withColumn("__n", squared).orderBy(F.desc("__n"), "key").limit(HEAD).drop("__n").toArrow().combine_chunks()
-        sample = fitting.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vector").toArrow().combine_chunks()
-        points = whole(matrix(sample.column("vector").combine_chunks(), width))
+    def make(fitting: DataFrame, n: int, width: int) -> Search:
+        long = fitting.agg(F.percentile_approx(squared, max(0.0, 1 - HEAD / n))).first()[0]
+        head = fitting.where(squared >= long).limit(HEAD).toArrow().combine_chunks()
+        points = whole(sample(fitting, n, SAMPLE).reshape(-1, width))
         rotation = np.linalg.eigh(points.T @ points / max(np.abs(points).max(initial=1.0) ** 2, 1.0))[1][:, ::-1].copy()
         return searcher(k, (head.column("key").to_numpy(), whole(matrix(head.column("vector").combine_chunks(), width))), rotation)
 

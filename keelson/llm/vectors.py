@@ -7,9 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.llm.common import table_cut
+
 #: Most components of the queries that are broadcast at once: 32 MB of doubles.
 QUERY_CELLS = 1 << 22
 #: Most components of the vectors that a task works on at once.
@@ -32,46 +35,65 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 Search = Callable[[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
-def search(rows: DataFrame, is_query: Column, k: int, make: Callable[[int], Search], score_type: str) -> DataFrame:
+def sample(rows: DataFrame, n: int, size: int) -> np.ndarray:
+    """Vectors, some `size` of n, of the keys of smallest hash: a matrix, in the order of hash and key.
+
+    Of keys that many rows share no more than twice as many rows are taken."""
+    part = min(1.0, size / max(n, 1))
+    some = rows.where(F.shiftrightunsigned(F.xxhash64("key"), 11) <= int(part * (1 << 53))).limit(2 * size)
+    got = some.select(F.xxhash64("key").alias("h"), "key", "vector").toArrow().sort_by([("h", "ascending"), ("key", "ascending")]).combine_chunks()
+    return matrix(got.column("vector").combine_chunks(), len(got.column("vector")[0]) if len(got) else 0)
+
+
+def search(rows: DataFrame, is_query: Column, k: int, make: Callable[[DataFrame, int, int], Search], score_type: str) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of what the search finds, ties to the smaller vec_id.
 
-    rows: (key, vector), all of the width that most have (ties to the larger; others take no part). make(width) gives a
-    search: (query keys, query matrix, blocks of (keys, matrix) of one partition) to (query, key, score) arrays. Of the
-    rows that share a key all are candidates, and one is a query."""
+    rows: (key, vector); a query meets the vectors of its own width, as others have no inner product with it. make(the rows of
+    a width, their number, the width) gives a search: (query keys, query matrix, blocks of (keys, matrix) of one partition) to
+    (query, key, score) arrays. Of the rows that share a key all are candidates, and one is a query.
+
+    Queries go out in passes of at most QUERY_CELLS components, one after the other: the driver holds one pass's queries, and
+    each pass's result is written to the shared folder before the next begins."""
     spark = rows.sparkSession
-    widths = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.sum(is_query.cast("long")).alias("q")).orderBy(F.desc("n"), F.desc("width")).limit(1).collect()
-    schema = f"query_id long, vec_id long, score {score_type}"
-    if not widths or not widths[0]["q"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score " + score_type)
-    width = widths[0]["width"]
-    rows = rows.where(F.size("vector") == width)
-    passes = max(1, -(-widths[0]["q"] * width * 5 // (4 * QUERY_CELLS)))
-    found = []
-    for i in range(passes):
-        got = rows.where(is_query & (F.pmod(F.xxhash64("key"), F.lit(passes)) == i)).toArrow().sort_by("key").combine_chunks()
+    widths = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.sum(is_query.cast("long")).alias("q")).where("q > 0").orderBy("width").collect()
+    passes = [(w["width"], w["n"], i, n) for w in widths for n in [max(1, -(-w["q"] * w["width"] * 5 // (4 * QUERY_CELLS)))] for i in range(n)]
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found, run, at = [], None, None
+    for width, n, i, of in passes:
+        own = rows.where(F.size("vector") == width)
+        if at != width:
+            run, at = make(own, n, width), width
+        got = own.where(is_query & (F.pmod(F.xxhash64("key"), F.lit(of)) == i)).toArrow().sort_by("key").combine_chunks()
         keys = got.column("key").to_numpy()
         first = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
         queries = spark.sparkContext.broadcast((keys[first], matrix(got.column("vector").combine_chunks(), width)[first]))
-        run = make(width)
-
-        def task(batches: Iterator[pa.RecordBatch], queries=queries, run=run) -> Iterator[pa.RecordBatch]:
-            def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-                held: list[tuple[np.ndarray, np.ndarray]] = []
-                for batch in batches:
-                    held.append((batch.column("key").to_numpy(), matrix(batch.column("vector"), width)))
-                    if sum(len(x) for x, _ in held) * width >= BLOCK_CELLS:
-                        yield tuple(map(np.concatenate, zip(*held)))
-                        held = []
-                if held:
+        task = _task(queries, run, width)
+        best = own.mapInArrow(task, f"query_id long, vec_id long, score {score_type}").withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if len(passes) > 1:
+            best = table_cut(best, "nearest")
+            queries.destroy()
+        found.append(best)
+    if not found:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score " + score_type)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _task(queries: Broadcast, run: Search, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for batch in batches:
+                held.append((batch.column("key").to_numpy(), matrix(batch.column("vector"), width)))
+                if sum(len(x) for x, _ in held) * width >= BLOCK_CELLS:
                     yield tuple(map(np.concatenate, zip(*held)))
+                    held = []
+            if held:
+                yield tuple(map(np.concatenate, zip(*held)))
 
-            for query, key, score in run(*queries.value, blocks()):
-                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(key, pa.int64()), pa.array(score)], names=["query_id", "vec_id", "score"])
+        for query, key, score in run(*queries.value, blocks()):
+            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(key, pa.int64()), pa.array(score)], names=["query_id", "vec_id", "score"])
 
-        found.append(rows.mapInArrow(task, schema))
-    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    best = reduce(DataFrame.unionByName, found).withColumn("rank", order).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    return task
 
 
 class Best:

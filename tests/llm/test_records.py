@@ -202,6 +202,51 @@ def test_forest_finds_most_and_scores_exactly(spark):
     assert forest.neighbours(df.where("false"), F.col("key") % 20 == 0).count() == 0
 
 
+def test_descent_finds_the_longest_prefix():
+    r = np.random.default_rng(4)
+    hashes = np.sort(r.integers(0, 1 << 32, (3, 50), dtype=np.uint32), axis=1)
+    f = forest.Forest.__new__(forest.Forest)
+    f.hashes, f.order = hashes, np.argsort(hashes, axis=1)
+    queries = np.concatenate([r.integers(0, 1 << 32, (3, 20), dtype=np.uint32), hashes[:, :2] ^ np.uint32(5)], axis=1)
+    want = [max(32 - int(q ^ h).bit_length() for t in range(3) for q in [int(queries[t, i])] for h in map(int, hashes[t])) for i in range(queries.shape[1])]
+    assert f.descend(queries).tolist() == want and max(want) >= 29
+    # all strings that share as many bits as are needed for enough of them, and no other
+    for i, mark in enumerate(f.candidates(queries, 30)):
+        for depth in range(32, -1, -1):
+            own = {j for t in range(3) for j, h in zip(f.order[t], map(int, hashes[t])) if (int(queries[t, i]) ^ h) >> (32 - depth) == 0}
+            if len(own) >= 30 or not depth:
+                break
+        assert set(np.flatnonzero(mark)) == own
+
+
+def test_clustered_vectors_need_few_candidates(spark):
+    r = np.random.default_rng(8)
+    middle = r.normal(size=(60, 24))
+    v = (middle[r.integers(0, 60, 4000)] + 0.15 * r.normal(size=(4000, 24))).astype(np.float32).astype(np.float64)
+    assert forest.fitted_share(v, 20, forest.projections(24)) <= 1 / 16
+    got = forest.neighbours(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), F.col("key") % 20 == 0).toPandas()
+    hit = 0
+    for q, x in got.groupby("query_id"):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(set(x.vec_id) & set(np.argsort(-s)[:20]))
+    assert hit / len(got) >= 0.9 and len(got) == 4000
+
+
+@pytest.mark.parametrize("search_of", ["topk", "forest"])
+def test_widths_ties_and_clashing_columns(spark, search_of, monkeypatch):
+    """Each width among its own kind; equal scores of several blocks go to the smaller keys; a column named key does no harm."""
+    import keelson.llm.vectors as vectors
+
+    monkeypatch.setattr(vectors, "BLOCK_CELLS", 8)
+    rows = [(i, [1.0, 2.0]) for i in range(0, 40)] + [(100 + i, [3.0, 1.0, float(i % 2)]) for i in range(10)]
+    df = spark.createDataFrame([(*x, 9, "v") for x in rows], "vec_id long, embedding array<double>, key int, vector string").repartition(6)
+    of = topk.top_k if search_of == "topk" else forest.neighbours
+    got = of(df, F.col("key") % 100 == 0, k=5).toPandas()
+    assert got[got.query_id == 0].sort_values("rank").vec_id.tolist() == [1, 2, 3, 4, 5]
+    assert got[got.query_id == 100].sort_values("rank").vec_id.tolist() == [101, 102, 103, 104, 105] and got[got.query_id == 100].score.nunique() == 1
+
+
 def test_queries_go_out_in_passes(spark, monkeypatch):
     import keelson.llm.vectors as vectors
 

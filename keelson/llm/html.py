@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -28,13 +29,11 @@ from keelson.llm import labelled_pages
 from keelson.llm.common import slices, strings
 
 BITS = 13
-#: Attributes up to the tag's end. A quote encloses a value only right after "="; possessive, so nothing is retried.
-_ATTRS = r"(?>[^>=]+|=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*+)|=)*+"
-_TOKEN = re.compile(
-    rf"<!--(?:-?>|.*?-->|.*\Z)|<(script|style)(?=[\s/>]){_ATTRS}>(?:.*?</\1(?=[\s/>])[^>]*>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRS})>|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_BARE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "title")}
+_SPACE, _VALUE = re.compile(r"\s*"), re.compile(r"[^\s>]*")
+#: Open elements that are told apart, as in browsers; what is nested deeper lies in the innermost of them.
+DEEPEST = 512
 _BLOCK = frozenset(
     "html head body title p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article header footer nav aside main blockquote pre form fieldset figure figcaption hr address details summary select option button label legend center ins dialog hgroup menu noscript object canvas iframe template textarea".split()
 )
@@ -45,6 +44,95 @@ _PART = re.compile(r"[a-z]+")
 _HEAD = frozenset(["head", "title"])
 
 
+class _Scan:
+    """A page's tokens by the states of the HTML tokenizer, each character looked at a bounded number of times.
+
+    Quotes enclose a value only after "="; a quote that nothing closes is part of a value without quotes, so that it doesn't
+    take the rest of the page. Comments, scripts and styles run to the end where nothing closes them; so does a tag without
+    a closing bracket."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.missing: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where `what` is next; what was missed once isn't looked for again."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The end of a tag whose name ends at `at`; -1 if the page ends before."""
+        page, close = self.page, at - 1
+        while True:
+            if close < at:
+                close = self.find(">", at)
+            if close < 0:
+                return -1
+            equals = page.find("=", at, close)
+            if equals < 0:
+                return close + 1
+            at = _SPACE.match(page, equals + 1).end()
+            quote = page[at : at + 1]
+            if quote in ("'", '"') and (end := self.find(quote, at + 1)) >= 0:
+                at = end + 1
+            else:
+                at = _VALUE.match(page, at).end()
+
+    def comment_end(self, at: int) -> int:
+        """The end of a comment whose text begins at `at`."""
+        if self.page.startswith((">", "->"), at):
+            return self.page.index(">", at) + 1
+        ends = [(x, x + len(mark)) for mark in ("-->", "--!>") if (x := self.find(mark, at)) >= 0]
+        return min(ends)[1] if ends else len(self.page)
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the end tag of raw text begins, or -1."""
+        if tag in self.missing:
+            return -1
+        found = _ENDS[tag].search(self.page, at)
+        if not found:
+            self.missing.add(tag)
+            return -1
+        return found.start()
+
+    def tokens(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(begin, end, tag, closing, attributes); other markup has no tag but "!", raw text the tag "#"."""
+        page, at, drawing = self.page, 0, False
+        while (at := page.find("<", at)) >= 0:
+            name = _NAME.match(page, at)
+            if not name:
+                after = page[at + 1 : at + 2]
+                if after not in ("!", "?", "/") or not after:
+                    at += 1
+                    continue
+                if page.startswith("!--", at + 1):
+                    end = self.comment_end(at + 4)
+                else:
+                    end = self.find(">", at) + 1 or len(page)
+                yield at, end, "!", False, ""
+                at = end
+                continue
+            end = self.tag_end(name.end())
+            if end < 0:
+                yield at, len(page), "!", False, ""
+                return
+            tag, closing = name[2].lower(), bool(name[1])
+            yield at, end, tag, closing, page[name.end() : end - 1]
+            if tag == "svg":
+                drawing = not closing and page[end - 2] != "/"
+            at = end
+            if not closing and (tag in ("script", "style") or (tag == "title" and not drawing)):
+                end = self.raw_end(tag, at)
+                if end >= 0 or tag != "title":
+                    end = end if end >= 0 else len(page)
+                    yield at, end, "#", False, ""
+                    at = end
+
+
 @dataclass
 class Block:
     """A leaf block: its text, its open block-level elements and the text's characters within links."""
@@ -79,28 +167,37 @@ def blocks(page: str) -> list[Block]:
             parts.append(text)
             linked += len(text) if link else 0
 
+    open_now: Counter[str] = Counter()
+    deeper: Counter[str] = Counter()
+
     def close(tag: str, until: frozenset[str] = frozenset()) -> None:
+        if deeper[tag]:
+            deeper[tag] -= 1
+            return
+        if not open_now[tag]:
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] == tag:
+                open_now.subtract(x for x, _ in stack[i:])
                 del stack[i:]
+                deeper.clear()
                 return
             if stack[i][0] in until:
                 return
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
-        if not tag:
-            if m.group(1):
-                parts.append(" ")
+    for begin, end, tag, closing, attrs in _Scan(page).tokens():
+        add(page[at:begin])
+        at = end
+        if tag in ("!", "#"):
+            continue
+        if tag in ("script", "style"):
+            parts.append(" ")
             continue
-        tag, closing = tag.lower(), bool(m.group(2))
         if tag in _BLOCK:
             flush()
             link = False if tag in _ENDS_P else link
-            if tag in _VOID or (tag == "title" and m.group(4).endswith("/")):
+            if tag in _VOID or (tag == "title" and attrs.endswith("/")):
                 continue
             if closing:
                 close(tag)
@@ -111,11 +208,14 @@ def blocks(page: str) -> list[Block]:
                 close(tag, frozenset(["ul", "ol", "dl", "select", "table", "tr"] if tag != "tr" else ["table"]))
             if tag == "body":
                 close("head")
-            attrs = m.group(4)
+            if len(stack) == DEEPEST:
+                deeper[tag] += 1
+                continue
             names: tuple[str, ...] = ()
             if "=" in attrs:
                 names = tuple(sorted({w for g in _NAMES.findall(attrs) for w in _PART.findall("".join(g).lower())}))
             stack.append((tag, names))
+            open_now[tag] += 1
         elif tag == "a":
             link = not closing
         elif tag == "br":

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -153,12 +154,35 @@ def test_pages(spark, odd):
     assert {r["text"] for r in got if r["page_id"] in (2, 3, 5, None)} == {""}
 
 
-@pytest.mark.parametrize("tag", ['<svg class="i"/>', "<math/>", "<object data=x>", "<canvas>", "<noscript>", "<svg><title/></svg>", "<svg><title>t</svg>", "<style-guide>", "<p data-x=don't>", "<p title=a=b'c>", "<!-->"])
+@pytest.mark.parametrize("tag", ['<svg class="i"/>', "<math/>", "<object data=x>", "<canvas>", "<noscript>", "<svg><title/></svg>", "<svg><title>t</svg>", "<style-guide>", "<p data-x=don't>", "<p title=a=b'c>", "<!-->", "<!--->", "<!-- c --!>", "<script>x</script foo>", "<title>a<b</title>", '<p title="never closed>', "<a =>", "<!doctype x>", "</>"])
 def test_no_element_but_scripts_styles_and_comments_swallows_the_page(tag):
     found = [b.text for b in html.blocks(f"<p>before</p>{tag}<p>after one</p><p class='x>y'>it's after</p>")]
     assert found == ["before", "after one", "it's after"]
 
 
+def test_markup_that_nothing_ends_is_no_text():
+    for tail in ("<a href=\"x", "<a href='x' title", "<!-- open", "<script>x", "<style>y", "</p", "<!doctype"):
+        assert [b.text for b in html.blocks(f"<p>text 1 < 2</p>{tail}")] == ["text 1 < 2"]
+
+
+@pytest.mark.parametrize("unit", ['<p x="', "<a b='", "<", "<a ", "<!--", "<script>", "</script", "<a =\"", "<p>", "<div>", "<li>a", "<div><p>x", "<p a='>b", "<title>", "<a x='y' ", "</"])
+def test_hostile_pages_take_time_in_proportion(unit):
+    """A megabyte of anything takes seconds at most; a quadratic scan would take hours."""
+    began = time.process_time()
+    found = html.blocks(unit * (1_000_000 // len(unit)) + "<p>end")
+    html.featurise(found)
+    assert time.process_time() - began < 30 and all(len(b.path) <= html.DEEPEST for b in found)
+
+
+def test_text_is_kept_however_deep(spark, nothing):
+    page = "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after</p>"
+    assert [b.text for b in html.blocks(page)] == ["deep", "after"] and len(html.blocks(page)[1].path) == 1
+    long = "<article><h1>Title of it</h1>" + "".join(f"<p>Paragraph {i} has a number of words, as articles do.</p>" for i in range(20_000)) + "</article>"
+    got = html.extract(spark.createDataFrame([(1, "u", long)], "page_id long, url string, html string")).first()
+    assert got["text"].count("\n") == 20_000 and got["n_chars"] == len(got["text"])
+    empty = html.extract(nothing.selectExpr("doc_id as page_id", "source as url", "text as html"))
+    assert empty.count() == 0 and empty.columns == ["page_id", "url", "text", "n_chars"]
+
 def test_only_scripts_styles_and_comments_are_dropped():
     page = "<p>area <math><mi>x</mi></math> m</p><noscript>plain words</noscript><object data=x>stand-in</object><script>a</script ><style>b</style><!-- c -->end<script>open"
     assert [b.text for b in html.blocks(page)] == ["area x m", "plain words", "stand-in", "end"]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import slices, strings
+from keelson.llm.common import slices, text_slices
 from keelson.llm.tokens import powers
 
 _NONE = np.int32(2**31 - 1)
@@ -358,9 +358,8 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         decimal = np.array([str(i) for i in range(len(codec.known))], object)
         for batch in batches:
             n, of_ids, of_bytes = [], [], []
-            texts = strings(batch.column("__text"))
-            for start, stop in slices([len(x) for x in texts], GROUP):
-                for ids in codec.encode(texts[start:stop]):
+            for _, texts in text_slices(batch.column("__text"), GROUP):
+                for ids in codec.encode(texts):
                     n.append(len(ids))
                     of_ids.append(hashlib.sha256(" ".join(decimal[ids]).encode()).hexdigest())
                     of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset, as in tests, a temporary folder takes its place."""
+    Where that is unset a temporary folder takes its place in local mode, as in tests; on a cluster that is an error."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         path = context.getCheckpointDir()
     if path is None:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="keelson-checkpoint-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
@@ -87,6 +91,14 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """The texts of an Arrow column, some `most` bytes of neighbours at once, each with the number of its first: so a batch of
+    long texts isn't held as Python objects as a whole."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in slices(sizes, most):
+        yield a, strings(column.slice(a, b - a))
+
+
 def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:
     """Ranges of neighbours whose sizes sum to about `most`; a larger one stands alone."""
     out, start, total = [], 0, 0

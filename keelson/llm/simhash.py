@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import strings, table_cut
+from keelson.llm.common import table_cut, text_slices
 from keelson.llm.components import components
 
 WORDS = 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x, words) for x in strings(batch.column("__text"))], np.uint64).view(np.int64)
+            found = np.array([fingerprint(x, words) for _, texts in text_slices(batch.column("__text")) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(found)], names=["key", "fp"])
 
     return docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, f"key {kind}, fp long")

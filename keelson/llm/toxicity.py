@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keelson.llm.common import sigmoid, strings, table_cut
+from keelson.llm.common import sigmoid, strings, table_cut, text_slices
 from keelson.llm.tokens import mix, words
 
 #: Nats by which counts of its own must explain a word, or a pair, better than backing off does.
@@ -96,14 +96,14 @@ def _merged(parts: list[Counts]) -> Counts:
 def pair_counts(texts: list[str], toxic: np.ndarray) -> Counts:
     """Distinct pairs of words as one number each, their counts in ordinary and in toxic texts, and marks of these texts: of
     ordinary ones in the lower _MARKS bits, of toxic ones in the others."""
-    parts: list[Counts] = [(*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.int32))]
+    parts: list[Counts] = [(np.zeros(0, np.int64), *[np.zeros(0, np.int32)] * 3)]
     for doc, before, word in stream(texts):
-        of = toxic[doc].astype(np.int64)
+        of = toxic[doc].astype(np.int32)
         pair = before << _HASH | word
         at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
         least = np.minimum.reduceat(mix(pair.astype(np.uint64)), at) if len(doc) else np.zeros(0, np.uint64)
         place = np.repeat((mix(least) % np.uint64(_MARKS)).astype(np.uint32), np.diff(np.append(at, len(doc)))) + np.uint32(_MARKS) * of.astype(np.uint32)
-        parts.append((pair, 1 - of, of, (np.uint32(1) << place).view(np.int32)))
+        parts.append(_merged([(pair, 1 - of, of, (np.uint32(1) << place).view(np.int32))]))
     return _merged(parts)
 
 
@@ -296,12 +296,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         def out() -> pa.RecordBatch:
             pair, c0, c1, marks = _merged(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, c0, c1, marks)], names=["pair", "c0", "c1", "marks"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (pair, c0.astype(np.int64), c1.astype(np.int64), marks)], names=["pair", "c0", "c1", "marks"])
 
         for batch in batches:
-            held.append(pair_counts(strings(batch.column("__text")), batch.column("__toxic").to_numpy(zero_copy_only=False)))
-            if sum(len(x[0]) for x in held) > _FLUSH:
-                yield out()
+            toxic = batch.column("__toxic").to_numpy(zero_copy_only=False)
+            for at, texts in text_slices(batch.column("__text")):
+                held.append(pair_counts(texts, toxic[at : at + len(texts)]))
+                if sum(len(x[0]) for x in held) > _FLUSH:
+                    # what texts share is merged; only what is left counts as gathered
+                    held[:] = [_merged(held)]
+                    if len(held[0][0]) > _FLUSH // 2:
+                        yield out()
         if held:
             yield out()
 

@@ -99,7 +99,8 @@ def bounded_sample(labels: DataFrame, key: str, label: str, most: int) -> DataFr
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 6000) -> np.ndarray:
     """Weights fitted on at most `most` labelled rows (a bound, so sample and model fit in the driver).
 
-    Executors turn texts into sparse vectors; the driver makes the FTRL steps in the order of the keys' hashes."""
+    Executors turn texts into sparse vectors; the driver makes the FTRL steps in the order of the keys' hashes. Of sampled keys
+    that many rows share, at most 2 most rows are learnt from."""
     sample = F.broadcast(bounded_sample(labels, key, label, most))
     rows = docs.select(F.col(key).alias("__doc"), F.col(text).alias("__text")).join(sample, F.col("__doc") == F.col("__key"))
 
@@ -111,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 names=["h", "label", "idx", "value"],
             )
 
-    got = rows.mapInArrow(vectors, "h long, label int, idx binary, value binary").toPandas().sort_values(["h", "label", "idx"], kind="stable")
+    got = rows.mapInArrow(vectors, "h long, label int, idx binary, value binary").limit(2 * most).toPandas().sort_values(["h", "label", "idx"], kind="stable")
     return Ftrl().fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for y, i, v in zip(got.label, got.idx, got.value)])
 
 

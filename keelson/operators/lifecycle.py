@@ -56,6 +56,12 @@ def progress(tiles: DataFrame, done: DataFrame) -> DataFrame:
     return sums.withColumn("state", state)
 
 
+def to_start(lags: DataFrame, started: DataFrame, most_seconds: int) -> DataFrame:
+    """(task) of those whose snapshot may begin by itself: their lag, as of progress.lag_now, is below the threshold and none has
+    begun."""
+    return lags.where(F.col("lag_us") < most_seconds * 1_000_000).join(started.select("task"), "task", "left_anti").select("task")
+
+
 def shuffled(tiles: DataFrame, seed: int = 0) -> DataFrame:
     """Tables or chunks in a random order that depends on the seed alone: neighbours don't meet the same server at once."""
     return tiles.orderBy(F.xxhash64(F.lit(seed), *tiles.columns))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keelson.functions import scalars
 from keelson.model import chosen_tables
 from keelson.operators import lifecycle, progress
 from keelson.operators.numbering import numbered
 from keelson.plans.registry import query
+from keelson.sources import catalog
 from keelson.sources.tables import TABLES, table
 
 
@@ -154,3 +156,30 @@ def estimated_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH b AS (SELECT unnest([10.0, 50.0, 100.0, 300.0]::DOUBLE[]) AS le), a AS (SELECT CASE WHEN value <= 10 THEN 10.0 WHEN value <= 50 THEN 50.0 WHEN value <= 100 THEN 100.0 WHEN value <= 300 THEN 300.0 END::DOUBLE AS le, count(*) AS n FROM events GROUP BY 1) SELECT le, CAST(sum(n) OVER (ORDER BY le NULLS LAST) AS BIGINT) AS n FROM a")
 def histogram(spark: SparkSession, sf: str) -> DataFrame:
     return progress.histogram(table(spark, sf, "events"), "value", [10, 50, 100, 300])
+
+
+_FNV = "list_reduce(list_transform(range(1, length(task) + 1), lambda i: CAST(ascii(task[i]) AS BIGINT)), lambda h, b: xor(h * 16777619 % 4294967296, b), CAST(2166136261 AS BIGINT))"
+
+
+@query(f"SELECT task, {_FNV} AS server_id FROM (SELECT n_name AS task FROM nation)")
+def server_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select(F.col("n_name").alias("task"), scalars.server_id(F.col("n_name")).alias("server_id"))
+
+
+@query("SELECT event_id, CASE WHEN n IN (1022, 1048, 1052, 1062, 1169, 1216, 1217, 1292, 1451, 1452, 1557, 1586, 1761, 1762, 1859) THEN 'constraint' WHEN n = 9007 THEN 'conflict' WHEN n IN (1054, 1146) THEN 'schema' ELSE 'other' END AS class FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 9007 ELSE 1000 + event_id % 900 END AS n FROM events)")
+def error_classes(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.when(F.col("event_id") % 10 == 0, 9007).otherwise(1000 + F.col("event_id") % 900)
+    return table(spark, sf, "events").select("event_id", scalars.error_class(number).alias("class"))
+
+
+@query("SELECT p_partkey, CASE WHEN x < 10 THEN printf('%.1f', x) ELSE printf('%.0f', x) END AS said FROM (SELECT p_partkey, p_partkey % 160 / 8.0::DOUBLE + 0.0625 AS x FROM part)")
+def numbers_for_people(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.col("p_partkey") % 160 / F.lit(8.0) + 0.0625
+    return table(spark, sf, "part").select("p_partkey", scalars.humanised(x).alias("said"))
+
+
+@query("SELECT p_partkey::VARCHAR AS \"table\", coalesce(CAST(round(p_size * 1000 / nullif((p_partkey % 9) * 1.0::DOUBLE, 0)) AS BIGINT), 0) AS estimated_rows FROM part")
+def estimated_rows_of_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts stand for tables with lengths of data and of rows."""
+    stats = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("table_name"), (F.col("p_size") * 1000).alias("data_length"), (F.col("p_partkey") % 9).alias("avg_row_length"))
+    return catalog.estimates(stats)

@@ -5,8 +5,10 @@ No driver comes with PySpark; where none is installed, only what builds options
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+import time
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,22 +39,56 @@ class Target:
         return self.keyspace + (f"/{self.shard}" if self.shard else "") + (f"@{self.tablet}" if self.tablet else "")
 
 
+class Secret:
+    """A password that is loaded again when it is older than `seconds` (0: never): one that rotates."""
+
+    def __init__(self, load: Callable[[], str], seconds: float = 0, clock: Callable[[], float] = time.monotonic) -> None:
+        self._load, self._seconds, self._clock, self._held = load, seconds, clock, None
+
+    def __call__(self) -> str:
+        if self._held is None or (self._seconds and self._clock() - self._held[0] > self._seconds):
+            self._held = (self._clock(), self._load())
+        return self._held[1]
+
+
+#: Names of key stores in a cluster's configuration, and the connector's.
+_STORES = {
+    "trust_certificate_key_store_url": "trustCertificateKeyStoreUrl",
+    "trust_certificate_key_store_password": "trustCertificateKeyStorePassword",
+    "client_certificate_key_store_url": "clientCertificateKeyStoreUrl",
+    "client_certificate_key_store_password": "clientCertificateKeyStorePassword",
+}
+
+
 @dataclass(frozen=True)
 class Database:
-    """Where a database is. streaming asks for rows as they come instead of whole results."""
+    """Where a database is. streaming asks for rows as they come instead of whole results; stores are key stores by the names of a
+    cluster's configuration."""
 
     host: str
     user: str = ""
-    password: str = ""
+    password: str | Callable[[], str] = ""
     database: str = ""
     kind: str = "mysql"
     streaming: bool = False
     tls: bool = False
+    stores: Mapping[str, str] = field(default_factory=dict)
+
+    @classmethod
+    def of_cluster(cls, clusters: Mapping[str, Mapping], reader: bool = False, database: str = "") -> Database:
+        """The reader or writer of a configuration's first cluster; a database that is given overrides its own."""
+        for cluster in clusters.values():
+            c = cluster["reader" if reader else "writer"]
+            stores = {k: c[k] for k in _STORES if c.get(k)}
+            host = f"{c['host']}:{c['port']}" if c.get("port") else c["host"]
+            return cls(host, c.get("username", ""), c.get("password", ""), database or c.get("database", ""), c.get("type", "mysql").lower(), tls=bool(stores), stores=stores)
+        raise ValueError("the configuration names no cluster")
 
     def options(self, table: str | None = None, write_batch: int = 100) -> dict[str, str]:
         host = self.host if ":" in self.host else f"{self.host}:{4000 if self.kind == 'tidb' else 3306}"
         url = f"jdbc:mysql://{host}/{self.database}?connectionTimeZone=UTC" + ("&sslMode=VERIFY_IDENTITY" if self.tls else "")
-        out = {"url": url, "user": self.user, "password": self.password, "batchsize": str(write_batch)}
+        url += "".join(f"&{_STORES[k]}={quote(v, safe='')}" for k, v in self.stores.items())
+        out = {"url": url, "user": self.user, "password": self.password() if callable(self.password) else self.password, "batchsize": str(write_batch)}
         if self.kind == "vitess" and self.streaming:
             out["sessionInitStatement"] = "set workload = 'olap'"
         if self.streaming:

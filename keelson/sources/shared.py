@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session; where that is unset, a temporary folder in local mode, as in tests, and an error on a
+    cluster."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    path = path or "file://" + tempfile.mkdtemp(prefix="keelson-")
+    if not path:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="keelson-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
     return path.rstrip("/")

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.operators import causality, changelog, progress, reconcile
+from keelson.operators import causality, changelog, lifecycle, progress, reconcile
 
 EVENT = "txn_ordinal long, mutation_idx int, row_idx int, type string, before struct<id: long, v: string>, after struct<id: long, v: string>"
 
@@ -68,6 +68,36 @@ def test_watermarks(spark):
     assert [r["chunk_seq"] for r in reconcile.late(marks, known).collect()] == [2]
 
 
+def test_watermark_passes_and_events(spark):
+    kind = "txn_ordinal long, task string, table_name string, chunk_seq long, low int, high int"
+    marks = spark.createDataFrame([(1, "a", "t", 0, 1, 0), (2, "a", "t", 0, 0, 1), (5, "a", "t", 0, 1, 0), (7, "a", "t", 0, 1, 0), (9, "a", "t", 0, 0, 1), (11, "a", "t", 0, 1, 0), (3, "a", "t", 1, 0, 1)], kind)
+    assert [tuple(r) for r in reconcile.windows(marks, "a").collect()] == [("t", 0, 7, 9)]
+    row = "struct<task: string, table_name: string, chunk_seq: long, low: int, high: int>"
+    events = spark.createDataFrame([(1, "insert", [("a", "t", 0, 1, 0)]), (2, "delete", [("a", "t", 0, 1, 0)]), (3, "insert", [("b", "t", 0, 1, 0)])], f"txn_ordinal long, type string, rows array<{row}>")
+    own, other = reconcile.watermarks(events, "a")
+    assert [r["txn_ordinal"] for r in own.collect()] == [1] and [r["txn_ordinal"] for r in other.collect()] == [3]
+    with pytest.raises(Exception, match="more than one row"):
+        reconcile.watermarks(events.withColumn("rows", F.array_repeat(F.get("rows", F.lit(0)), 2)), "a")[0].collect()
+
+
+def test_snapshot_lifecycle(spark):
+    tables = spark.createDataFrame([("a",), ("b",), ("_keelson_watermark",)], "name string")
+    assert [r[0] for r in lifecycle.snapshot_tables(tables, ignored=["b"]).collect()] == ["a"]
+    tiles = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0), ("c", 0)], "table string, chunk_id long")
+    done = spark.createDataFrame([("a", 0), ("a", 0), ("b", 0), ("z", 9)], "table string, chunk_id long")
+    assert {tuple(r) for r in lifecycle.progress(tiles, done).collect()} == {("a", 2, 1, "running"), ("b", 1, 1, "done"), ("c", 1, 0, "waiting")}
+    asked = spark.createDataFrame([(1, None), (2, "x")], "id long, completed_at string")
+    got = lifecycle.marked(asked, spark.range(1, 3), "completed_at", F.lit("now"))
+    assert dict(got.collect()) == {1: "now", 2: "x"}
+    lags = spark.createDataFrame([("a", 5_000_000), ("b", 70_000_000), ("c", 0)], "task string, lag_us long")
+    assert [r[0] for r in lifecycle.to_start(lags, spark.createDataFrame([("c",)], "task string"), 60).collect()] == ["a"]
+    order = [r[0] for r in lifecycle.shuffled(spark.range(50).toDF("id"), 3).collect()]
+    assert sorted(order) == list(range(50)) != order and order == [r[0] for r in lifecycle.shuffled(spark.range(50).toDF("id"), 3).collect()]
+    events = spark.createDataFrame([("a", 1), ("_keelson_watermark", 2), ("z", 3)], "table_name string, n long")
+    assert [r["n"] for r in lifecycle.replicated(events, ["a"], ["_keelson_watermark"]).orderBy("n").collect()] == [1, 2]
+    assert [r["n"] for r in lifecycle.without_control(events).orderBy("n").collect()] == [1, 3]
+
+
 CAUSAL = [
     ("T1", [[0]]), ("T1 T1", [[0, 1]]), ("T1 T2", [[0], [1]]), ("R0-10 T2", [[0, 1]]), ("R0-10 T11", [[0], [1]]), ("R0-10 R10-20", [[0], [1]]),
     ("R0-10 T5,15 R10-20", [[0, 1, 2]]), ("T1 T1 T2 T1,2", [[0, 1, 2, 3]]), ("R- T3", [[0, 1]]), ("T1 T2 T3 T2,3", [[0], [1, 2, 3]]),

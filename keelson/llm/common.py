@@ -40,6 +40,20 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Setting of the bytes of a batch that goes to a Python worker, Spark's own value, and the one for texts and vectors.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Let batches for Python workers have at most 4 MB (or one row), unless the session has a value of its own.
+
+    Spark's 64 MB are held several times over, in the executor and in the worker, by each task. Plans are made after an operator
+    has returned, so this stays set for the session; no result depends on it."""
+    name, default, wanted = BATCH
+    if str(spark.conf.get(name, "")).rstrip("b") == str(default):
+        spark.conf.set(name, str(wanted))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

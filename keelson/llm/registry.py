@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm import bpe, forest, html, mixing, oracles, quality, sharding, simhash, topk, toxicity, warc
-from keelson.llm.common import crc_mod, fresh_dir, table
+from keelson.llm.common import bounded_batches, crc_mod, fresh_dir, table
 
 #: The tokenizer's vocabulary file; its place is a parameter.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -78,24 +78,30 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-def _importable(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """f with this package on the workers' path, as it is on the driver's: where they see the same folder, that suffices
-    whatever the working folder; elsewhere the package comes by spark.submit.pyFiles."""
+def ready(spark: SparkSession) -> None:
+    """The session with batches for workers bounded, and with this package on the workers' path, as it is on the driver's: where
+    they see the same folder, that suffices whatever the working folder; elsewhere the package comes by spark.submit.pyFiles."""
+    bounded_batches(spark)
+    root, environment = str(Path(__file__).parents[2]), spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
+def prepared(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, called with a session that is made ready before."""
 
     @functools.wraps(f)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        root, environment = str(Path(__file__).parents[2]), spark.sparkContext.environment
-        paths = environment.get("PYTHONPATH", "").split(os.pathsep)
-        if root not in paths:
-            environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
-        return f(spark, sf_dir)
+    def run(spark: SparkSession, *rest) -> DataFrame:
+        ready(spark)
+        return f(spark, *rest)
 
     return run
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_quality_classifier, op2_html_extraction, op3_toxicity, op4_warc, op5_byte_bpe, op6_source_mixing, op7_exact_top_k, op8_simhash, op9_sharding, op10_hash_prefix_forest, pipeline)
-    return {f.__name__: _importable(f) for f in own}
+    return {f.__name__: prepared(f) for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

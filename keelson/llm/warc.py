@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer and its reader.
 
 Records are range-sorted by page: the bounds of the shards are quantiles, by bytes, of the page ids of smallest hash, some
-SAMPLE of them and SPLITS for each shard, so the same table gives the same shards however it is partitioned. Rows of one id
-are never apart; rows without an id are dealt to shards of their own by digest. One task writes a shard: it regenerates every record's
+SAMPLE of them and SPLITS for each shard, so the same table gives the same shards however it is partitioned. Rows without an id,
+and those of an id that one row in HOT has or more, are dealt to shards of their own by digest; other rows of one id are
+never apart. One task writes a shard: it regenerates every record's
 headers and digests, rolls to a new file once the compressed size reaches `roll_bytes`, writes under a temporary name
 and renames a finished file, then commits the shard by renaming its manifest. The driver commits the archive by a
 manifest of all shards; the reader reads what that names. A task that runs again writes the same bytes.
@@ -35,6 +36,8 @@ from pyspark.sql import types as T
 SAMPLE, SPLITS = 20_000, 16
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SALTS = 16
+#: An id of at least one row in so many is hot; there are no more of them.
+HOT = 1 << 8
 #: Bytes of a record beside its payload, about.
 RECORD = 700
 
@@ -113,6 +116,15 @@ def _revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
     return found.select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
 
 
+def _hot(narrow: DataFrame) -> list[int]:
+    """The page ids of at least one row in HOT."""
+    ids = narrow.select("page_id").where(F.col("page_id").isNotNull())
+    # a superset of these, of at most a few times HOT, in one pass
+    some = ids.freqItems(["page_id"], 1 / HOT).first()[0] or []
+    n = ids.count()
+    return sorted(r[0] for r in ids.where(F.col("page_id").isin(some)).groupBy("page_id").count().collect() if r[1] * HOT >= n and r[1] > 1)
+
+
 def _bounds(narrow: DataFrame, n: int, shards: int) -> np.ndarray:
     """Page ids that cut the table into about so many ranges of equal bytes."""
     if shards < 2:
@@ -133,8 +145,9 @@ def write(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url", ht
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("size"), payload.alias("payload"))
     narrow = rows.select("page_id", "digest", "size")
-    no_id = F.col("page_id").isNull()
-    sums = narrow.agg(F.count("page_id").alias("n"), F.sum(F.when(~no_id, F.col("size") + RECORD)).alias("bytes"), F.sum(F.when(no_id, F.col("size") + RECORD)).alias("null_bytes")).first()
+    hot = _hot(narrow)
+    no_id = F.col("page_id").isNull() | F.col("page_id").isin(hot)
+    sums = narrow.agg(F.count(F.when(~no_id, 1)).alias("n"), F.sum(F.when(~no_id, F.col("size") + RECORD)).alias("bytes"), F.sum(F.when(no_id, F.col("size") + RECORD)).alias("null_bytes")).first()
     wanted, nameless = (-(-(sums[c] or 0) // shard_bytes) for c in ("bytes", "null_bytes"))
     bounds = _bounds(narrow.where(~no_id), sums["n"], wanted)
     shards = nameless + (len(bounds) + 1 if wanted else 0)
@@ -144,7 +157,7 @@ def write(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url", ht
     @F.pandas_udf(T.IntegerType())
     def shard_of(ids: pd.Series, hashes: pd.Series) -> pd.Series:
         own = np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), "right") + nameless
-        return pd.Series(np.where(ids.isna(), hashes.to_numpy(np.int64) % max(nameless, 1), own).astype(np.int32))
+        return pd.Series(np.where(ids.isna() | ids.isin(hot), hashes.to_numpy(np.int64) % max(nameless, 1), own).astype(np.int32))
 
     marks = _revisits(narrow, least_bytes).select("page_id", F.lit(None).cast("string").alias("url"), "digest", F.lit(None).cast("binary").alias("payload"), "refers_to")
     both = rows.select("page_id", "url", "digest", "payload", F.lit(None).cast("long").alias("refers_to")).unionByName(marks)

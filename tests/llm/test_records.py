@@ -57,6 +57,24 @@ def test_warc_is_the_same_however_rows_lie(spark, pages, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/d").where("record_type <> 'response'").count() == 0
 
 
+def test_warc_of_a_hot_id(spark, tmp_path):
+    """Rows of one id, and rows without any, are written by several tasks; equal payloads still are stored once."""
+    rows = [(7, "u", f"<p>{i % 90}</p>" * 20) for i in range(180)] + [(None, "u", f"<p>n{i}</p>" * 20) for i in range(60)] + [(1000 + i, "u", f"<p>own {i}</p>") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert warc._hot(df) == [7]
+    entries = warc.write(df, f"file://{tmp_path}/h", shard_bytes=20_000)
+    got = warc.read(spark, f"file://{tmp_path}/h").toPandas()
+    of = [set() for _ in range(2)]
+    for e in entries:
+        with gzip.open(Path(tmp_path, "h", e["file"])) as f:
+            heads = [head for head, _ in warc.records(f)]
+        of[0].add(e["file"][:12]) if any(h.get("x-page-id") == "7" for h in heads) else None
+        of[1].add(e["file"][:12]) if any("x-page-id" not in h for h in heads) else None
+    assert len(of[0]) > 3 and len(of[1]) > 3
+    own = got[got.page_id == 7]
+    assert len(got) == 300 and len(own) == 180 and (own.record_type == "response").sum() == 90 and set(own.refers_to.dropna()) == {7}
+
+
 @pytest.mark.parametrize("sizes,weights", [({"a": 400, "b": 37, "c": 90}, {"a": 3, "b": 2}), ({"a": 5}, {}), ({"a": 64, "b": 64, None: 64}, {"a": 5, "b": 1}), ({f"s{i}": 20 + i for i in range(12)}, {"s0": 9})])
 def test_mix_stays_within_a_block(spark, sizes, weights):
     rows = [(i * 1000 + j, s) for i, (s, n) in enumerate(sizes.items()) for j in range(n)]

@@ -50,11 +50,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", toxic_out),
-    ("quality", quality_in),
-    ("near-duplicates", near_duplicates_out),
-    ("mixing", mixed),
-    ("tokens", tokens),
+    ("toxicity", registry.prepared(toxic_out)),
+    ("quality", registry.prepared(quality_in)),
+    ("near-duplicates", registry.prepared(near_duplicates_out)),
+    ("mixing", registry.prepared(mixed)),
+    ("tokens", registry.prepared(tokens)),
 ]
 
 #: SQL can't express the models of the first two stages.

@@ -50,7 +50,7 @@ def bounded_batches(spark: SparkSession) -> None:
     Spark's 64 MB are held several times over, in the executor and in the worker, by each task. Plans are made after an operator
     has returned, so this stays set for the session; no result depends on it."""
     name, default, wanted = BATCH
-    if str(spark.conf.get(name, "")).rstrip("b") == str(default):
+    if spark.conf.get(name, f"{default}b").rstrip("b") == str(default):
         spark.conf.set(name, str(wanted))
 
 

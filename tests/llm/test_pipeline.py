@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from keelson.llm import mixing, quality, registry, simhash, toxicity
-from keelson.llm.common import crc_mod, fresh_dir, table
+from keelson.llm.common import BATCH, crc_mod, fresh_dir, table
 
 DIR = "/root/testdata/sf0.001"
 
@@ -47,6 +47,17 @@ def test_the_mix_outlasts_being_written(spark):
     assert sorted(r["position"] for r in registry.pipeline(spark, DIR).collect())[0] == 0
 
 
+def test_batches_for_workers_are_bounded_unless_the_session_says_otherwise(spark):
+    name, default, wanted = BATCH
+    spark.conf.unset(name)
+    registry.ready(spark)
+    assert spark.conf.get(name).rstrip("b") == str(wanted)
+    spark.conf.set(name, "1m")
+    registry.ready(spark)
+    assert spark.conf.get(name) in ("1m", "1048576b")
+    spark.conf.unset(name)
+
+
 def test_odd_documents_pass(spark, odd, nothing):
     for name, stage in corpus_pipeline.STAGES:
         for rows in (odd, nothing):

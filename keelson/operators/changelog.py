@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.operators.chunking import locate
+from keelson.operators.numbering import numbered
+
 #: Row events of a binary log, of all versions, by the type of mutation.
 EVENT_TYPES = {
     "WRITE_ROWS_EVENTv0": "insert", "WRITE_ROWS_EVENTv1": "insert", "WRITE_ROWS_EVENTv2": "insert",
@@ -48,6 +51,30 @@ def microbatches(log: DataFrame, most: int = 100, ordinal: str = "txn_ordinal",
     return log.withColumn(name, F.expr(f"`{ordinal}` div {int(most)}"))
 
 
+def microbatches_by_time(log: DataFrame, seconds: float, most: int = 100, ordinal: str = "txn_ordinal", time: str = "time") -> DataFrame:
+    """log with `span` and `part`: a batch has at most `most` transactions, and those of one span of so many seconds.
+
+    A transaction is of the span of its first event. Spans lie on a grid, so batches are found side by side; a span without
+    transactions has no batch, as a wait without any is only made longer. A span's transactions share a task."""
+    first = log.groupBy(F.col(ordinal).alias("__txn")).agg(F.floor(F.unix_micros(F.min(time)) / F.lit(int(seconds * 1_000_000))).alias("span"))
+    number = F.row_number().over(Window.partitionBy("span").orderBy("__txn"))
+    parts = first.withColumn("part", F.floor((number - 1) / most).cast("long"))
+    return log.join(parts, F.col(ordinal) == F.col("__txn")).drop("__txn")
+
+
+def positions(events: DataFrame, order: str = "ordinal") -> DataFrame:
+    """events with the file and position of the log after each of them: a rotate event names the file that follows and the
+    position in it, every other event ends at its own `log_pos`.
+
+    events: (ordinal, type, next_file, next_position, log_pos). Rotations bound ranges of ordinals, and each event is located in
+    its own as a key is in its chunk."""
+    rotations = numbered(events.where("type = 'rotate'").select(order, F.col("next_file").alias("file"), F.col("next_position").alias("__start")), [order], "__of")
+    tiles = rotations.select(F.col("__of").alias("chunk_id"), F.struct(order).alias("start"))
+    named = rotations.select("__of", F.col(order).alias("__at"), "file", "__start")
+    out = locate(events, tiles, [order], "__of").join(named, "__of", "left")
+    return out.withColumn("position", F.when(F.col(order) == F.col("__at"), F.col("__start")).otherwise(F.col("log_pos"))).drop("__of", "__at", "__start")
+
+
 def images(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys..., order, live, row): one row for each change of a key. An update whose key changes deletes the old key and
     writes the new one; of one event the deletion counts first."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: Lag where no heartbeat was ever seen.
@@ -77,6 +79,20 @@ def throughput(progress: DataFrame, estimates: DataFrame) -> DataFrame:
     return rows.select("table", "rows", "estimated_rows", speed.alias("rows_per_second"), percent.alias("percent_done"), left.alias("seconds_left"))
 
 
+def observed(rows: DataFrame, name: str, column: str = "type", values: Sequence[str] = ("insert", "update", "delete")) -> tuple[DataFrame, Observation]:
+    """rows, and what is counted of them as they pass, by the values of a column and in all: no second pass is made for it.
+
+    The counts are there (`.get`) when an action on rows has ended; a stream reports them to its listeners under that name."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(column) == v).alias(v) for v in values]), seen
+
+
+def exposed(counts: Mapping[str, float], prefix: str, **labels: str) -> str:
+    """Counts in the text format that metric servers scrape."""
+    of = ",".join(f'{k}="{v}"' for k, v in sorted(labels.items()))
+    return "".join(f"{prefix}_{k}{{{of}}} {v}\n" if of else f"{prefix}_{k} {v}\n" for k, v in counts.items())
+
+
 def histogram(values: DataFrame, column: str, bounds: list[float]) -> DataFrame:
     """(le, n): cumulative counts of values up to each bound; null stands for all."""
     tops = F.array(*[F.lit(float(b)) for b in bounds], F.lit(None).cast("double"))

@@ -38,6 +38,23 @@ def txn_microbatches(spark: SparkSession, sf: str) -> DataFrame:
     return changelog.microbatches(log(spark, sf)).groupBy("batch").agg(F.count_distinct("txn_ordinal").alias("transactions"), F.count(F.lit(1)).alias("mutations"))
 
 
+@query(f"WITH {LOG_SQL}, f AS (SELECT txn_ordinal, epoch_us(min(ts)) // 7200000000 AS span FROM e GROUP BY 1), p AS (SELECT *, (row_number() OVER (PARTITION BY span ORDER BY txn_ordinal) - 1) // 2 AS part FROM f) SELECT span, part, count(*) AS transactions FROM p GROUP BY ALL")
+def txn_microbatches_by_time(spark: SparkSession, sf: str) -> DataFrame:
+    """At most two transactions, of two hours."""
+    times = table(spark, sf, "events").select(F.col("event_id").alias("log_pos"), F.col("ts").cast("timestamp").alias("time"))
+    found = changelog.microbatches_by_time(log(spark, sf).join(times, "log_pos"), 7200, 2)
+    return found.groupBy("span", "part").agg(F.count_distinct("txn_ordinal").alias("transactions"))
+
+
+@query("WITH r AS (SELECT event_id AS a, lead(event_id) OVER (ORDER BY event_id) AS b FROM events WHERE event_id % 500 = 0) SELECT event_id, 'log.' || a // 500 AS file, CASE WHEN event_id = a THEN 4 ELSE event_id * 10 END AS position FROM events LEFT JOIN r ON event_id >= a AND (b IS NULL OR event_id < b)")
+def log_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """One event in five hundred stands for a rotation."""
+    k = F.col("event_id")
+    turn = k % 500 == 0
+    events = table(spark, sf, "events").select("event_id", F.when(turn, "rotate").otherwise("rows").alias("type"), F.when(turn, F.concat(F.lit("log."), F.expr("event_id div 500").cast("string"))).alias("next_file"), F.when(turn, F.lit(4)).cast("long").alias("next_position"), (k * 10).alias("log_pos"))
+    return changelog.positions(events, "event_id").select("event_id", "file", "position")
+
+
 _LAST = "l AS (SELECT user_id, arg_max(kind, event_id) AS kind, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM e GROUP BY user_id)"
 _APPLIED = f"WITH {LOG_SQL}, {SEED_SQL}, {_LAST} SELECT user_id, event_type, value FROM l WHERE kind <> 'delete' UNION ALL SELECT * FROM seed WHERE user_id NOT IN (SELECT user_id FROM l)"
 

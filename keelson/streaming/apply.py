@@ -28,13 +28,20 @@ class VersionedTable:
     up to which transaction they are applied, renamed into place when all of it is written: position and rows are committed
     together. Writing a batch twice gives the same version, and transactions that a version has are left out of later ones,
     so that a log read again from an older position is applied once. Buckets that none of the last `keep` versions has are
-    deleted. A bucket should fit a task: choose as many buckets as the table has GB, or more."""
+    deleted. A bucket should fit a task: choose as many buckets as the table has GB, or more; their number stays as the first
+    version has it."""
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = (), buckets: int = 64, keep: int = 2) -> None:
         self.spark, self.path, self.keys, self.buckets, self.keep = spark, path.rstrip("/"), list(keys), buckets, max(keep, 2)
         self._jvm = spark._jvm
         self._folder = self._jvm.org.apache.hadoop.fs.Path(self.path)
         self._files = self._folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if there := self.versions():
+            # a table that is there keeps its buckets
+            found = self.manifest(there[-1])
+            if self.keys and self.keys != found["keys"]:
+                raise ValueError(f"the table's keys are {', '.join(found['keys'])}")
+            self.keys, self.buckets = found["keys"], found["buckets"]
 
     def _at(self, *names: str):
         return self._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *names]))
@@ -82,7 +89,7 @@ class VersionedTable:
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v={version}")
         written = {int(x[7:]) for x in self._names(f"v={version}") if x.startswith("bucket=")}
         now = {b: v for b, v in of.items() if int(b) not in set(touched)} | {str(b): version for b in sorted(written)}
-        line = json.dumps({"position": position, "schema": rows.schema.jsonValue(), "of": now})
+        line = json.dumps({"position": position, "keys": self.keys, "buckets": self.buckets, "schema": rows.schema.jsonValue(), "of": now})
         temporary, final = self._at(f"manifest-{version}.json.tmp"), self._at(f"manifest-{version}.json")
         out = self._files.create(temporary, True)
         try:

@@ -128,7 +128,10 @@ def test_replicate_goes_on_where_it_ended(spark, tmp_path, capsys):
     assert commands.main(["replicate", "--source", log, "--out", out, "--table", "t=id"]) == 0
     assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"table": "t", "rows": 2}
     # a stream whose checkpoint is lost reads the whole log again: transactions that the state has are left out
-    table = VersionedTable(spark, f"{out}/t/state", ["id"], 3)
+    table = VersionedTable(spark, f"{out}/t/state", ["id"], 99)
+    assert table.buckets == 3
+    with pytest.raises(ValueError, match="keys"):
+        VersionedTable(spark, f"{out}/t/state", ["v"])
     last = table.versions()[-1]
     apply_batch(table, ["id"])(spark.read.parquet(log), last + 1)
     assert said(table.latest()) == ["1:C", "5:E"] and table.position(last + 1) == 4

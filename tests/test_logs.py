@@ -129,6 +129,12 @@ def test_causal_tables_and_composite_keys_are_apart(spark):
     assert {x["txn"]: x["pk_set"] for x in causality.printable_keys(causality.touches(k)).collect()}[3].startswith("a:")
 
 
+def test_counts_as_rows_pass(spark):
+    rows, seen = progress.observed(spark.createDataFrame([("insert",), ("insert",), ("delete",), ("other",)], "type string"), "writes")
+    assert rows.count() == 4 and seen.get == {"rows": 4, "insert": 2, "update": 0, "delete": 1}
+    assert progress.exposed({"rows": 4}, "keelson", table="t") == 'keelson_rows{table="t"} 4\n' and progress.exposed({"x": 1}, "k") == "k_x 1\n"
+
+
 def test_heartbeats(spark):
     w = spark.createDataFrame([("a", 1, 0), ("a", 2, 10), ("a", 3, 20)], "task string, count long, s long").selectExpr("task", "count", "timestamp_seconds(s) as time")
     a = spark.createDataFrame([("a", 1, 5), ("a", 3, 21)], "task string, count long, s long").selectExpr("task", "count", "timestamp_seconds(s) as apply_time")

@@ -23,8 +23,8 @@ before these say: a table of codes and values. At most KEEP entries are sent to
 (Wide). No entry is dropped.
 
 Defined cases: null and empty texts have the evidence of a word that says nothing; rows with a null label or key aren't
-learnt from; without labelled rows of both classes the score is 0.5; repeated rows count as often as they stand; very
-long texts are read whole, in slices (a pair doesn't span a slice); other columns are carried by name and never read."""
+learnt from; a key of several labels is toxic if any of them says so; without labelled rows of both classes the score is
+0.5; repeated rows count as often as they stand; very long texts are read whole, in slices (a pair doesn't span a slice); other columns are carried by name and never read."""
 
 from __future__ import annotations
 
@@ -280,7 +280,9 @@ def entries(pairs: DataFrame) -> tuple[DataFrame, float] | None:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | Wide | None:
     """The model counted over all labelled rows but those of the curve; None if a class has none."""
     spark = docs.sparkSession
-    labelled = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), (F.col(label) > 0).cast("int").alias("__toxic"), F.xxhash64(key).alias("__hash"))
+    # a key that many labels and many texts share would join each of these to each of those
+    labelled = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max((F.col(label) > 0).cast("int")).alias("__toxic"))
+    labelled = labelled.withColumn("__hash", F.xxhash64("__key"))
     size = labelled.count()
     # the curve's keys are those of least hash
     last = labelled.select("__hash").orderBy("__hash").limit(min(CURVE, max(size // SHARE, 1))).agg(F.max("__hash")).first()[0]

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keelson.llm import quality, toxicity
 from keelson.llm.tokens import mix, words
@@ -42,6 +43,12 @@ def test_learning_is_the_same_however_rows_lie(marked):
     assert (x.code == y.code).all() and np.allclose(x.value, y.value) and np.isclose(x.slope, y.slope)
 
 
+def test_labels_of_one_key_count_once(spark, marked):
+    once = toxicity.train(marked, marked, label="mark")
+    twice = toxicity.train(marked, marked.unionByName(marked.withColumn("mark", F.lit(0))), label="mark")
+    assert (once.code == twice.code).all() and np.allclose(once.value, twice.value)
+
+
 def test_ftrl_step_is_the_published_one():
     f = quality.Ftrl(bits=2, alpha=0.5, beta=1.0, l1=0.1, l2=0.2)
     f.step(np.array([1], np.int32), np.array([2.0]), 1)

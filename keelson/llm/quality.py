@@ -112,7 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 names=["h", "label", "idx", "value"],
             )
 
-    got = rows.mapInArrow(vectors, "h long, label int, idx binary, value binary").limit(2 * most).toPandas().sort_values(["h", "label", "idx"], kind="stable")
+    # coalesced, a limit runs over all partitions at once instead of over ever more of them
+    got = rows.mapInArrow(vectors, "h long, label int, idx binary, value binary").limit(2 * most).coalesce(1).toPandas().sort_values(["h", "label", "idx"], kind="stable")
     return Ftrl().fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for y, i, v in zip(got.label, got.idx, got.value)])
 
 

@@ -90,7 +90,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
 
     def make(fitting: DataFrame, n: int, width: int) -> Search:
         long = fitting.agg(F.percentile_approx(squared, max(0.0, 1 - HEAD / n))).first()[0]
-        head = fitting.where(squared >= long).limit(HEAD).toArrow().combine_chunks()
+        head = fitting.where(squared >= long).limit(HEAD).coalesce(1).toArrow().combine_chunks()
         points = whole(sample(fitting, n, SAMPLE).reshape(-1, width))
         rotation = np.linalg.eigh(points.T @ points / max(np.abs(points).max(initial=1.0) ** 2, 1.0))[1][:, ::-1].copy()
         return searcher(k, (head.column("key").to_numpy(), whole(matrix(head.column("vector").combine_chunks(), width))), rotation)

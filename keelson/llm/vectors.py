@@ -40,7 +40,7 @@ def sample(rows: DataFrame, n: int, size: int) -> np.ndarray:
 
     Of keys that many rows share no more than twice as many rows are taken."""
     part = min(1.0, size / max(n, 1))
-    some = rows.where(F.shiftrightunsigned(F.xxhash64("key"), 11) <= int(part * (1 << 53))).limit(2 * size)
+    some = rows.where(F.shiftrightunsigned(F.xxhash64("key"), 11) <= int(part * (1 << 53))).limit(2 * size).coalesce(1)
     got = some.select(F.xxhash64("key").alias("h"), "key", "vector").toArrow().sort_by([("h", "ascending"), ("key", "ascending")]).combine_chunks()
     return matrix(got.column("vector").combine_chunks(), len(got.column("vector")[0]) if len(got) else 0)
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from keelson.model import TableSpec
 from keelson.operators import causality, changelog, reconcile
 from keelson.operators.diff import flat
 from keelson.plans.inputs import LOG_SQL, SEED_SQL, diff_sql, log, seed
 from keelson.plans.registry import query
-from keelson.sources.shared import fresh_dir
+from keelson.sources.shared import fresh_dir, move
 from keelson.sources.tables import table
 from keelson.streaming.apply import VersionedTable, apply_stream, passthrough_stream, reconcile_stream, state_store
 
@@ -111,11 +114,10 @@ def stream_passthrough(spark: SparkSession, sf: str) -> DataFrame:
     """The changes that no open chunk takes in, as a stream of them."""
     changes = _changes(spark, sf)
     rows = changes.select("chunk_id", F.col("order.txn_ordinal").alias("at"), "user_id", "live")
-    where, out = _as_files(spark, rows, "at"), fresh_dir(spark, "forwarded")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(where)
-    forwarded = passthrough_stream(stream, _windows(changes)).select("user_id", "at", "live")
-    forwarded.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_dir(spark, "progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(forwarded.schema).parquet(out)
+    out, progress = fresh_dir(spark, "forwarded"), fresh_dir(spark, "progress")
+    forwarded = lambda stream: passthrough_stream(stream, _windows(changes)).select("user_id", "at", "live")
+    _run_arrivals(spark, rows, "at", lambda stream: forwarded(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append"))
+    return spark.read.schema(forwarded(rows).schema).parquet(out)
 
 
 @query(f"WITH {LOG_SQL} SELECT user_id, txn_ordinal, CAST(mutation_idx AS INTEGER) AS mutation_idx, kind <> 'delete' AS live FROM e WHERE NOT (txn_ordinal > 100 + 40 * (user_id // 20) AND txn_ordinal <= 130 + 40 * (user_id // 20))")
@@ -212,30 +214,40 @@ def pk_set_per_txn(spark: SparkSession, sf: str) -> DataFrame:
     return causality.printable_keys(causality.touches(_keys_of(spark, sf)))
 
 
-def _as_files(spark: SparkSession, rows: DataFrame, ordinal: str, files: int = 6) -> str:
-    """rows as files in the order of their ordinals: what a change log's folder looks like."""
-    where = fresh_dir(spark, "log")
+def _run_arrivals(spark: SparkSession, rows: DataFrame, ordinal: str, writer: Callable[[DataFrame], DataStreamWriter], arrivals: int = 6) -> None:
+    """Run a stream over a change log's folder while it grows by arrivals, which follow the ordinals.
+
+    All arrivals are written in one pass, by as many tasks as rows has, beside the log; each is renamed into it when the stream is
+    done with those before. So an arrival is one micro-batch, however many files it has, and the state stores are opened once."""
+    where, beside = fresh_dir(spark, "log"), fresh_dir(spark, "arrivals")
     top = rows.agg(F.max(ordinal)).first()[0] or 0
-    step = top // files + 1
-    for i in range(files):
-        rows.where(F.expr(f"{ordinal} div {step} = {i}")).coalesce(1).write.mode("append").parquet(where)
-    return where
+    rows.withColumn("__arrival", F.expr(f"{ordinal} div {top // arrivals + 1}")).write.partitionBy("__arrival").parquet(beside)
+    arrived = lambda i: move(spark, f"{beside}/__arrival={i}", f"{where}/{i}")
+    if not arrived(0):
+        rows.limit(0).write.parquet(f"{where}/0")
+    running = writer(spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(where)).start()
+    try:
+        running.processAllAvailable()
+        for i in range(1, arrivals):
+            if arrived(i):
+                running.processAllAvailable()
+    finally:
+        running.stop()
 
 
 @query(_APPLIED)
 def stream_apply(spark: SparkSession, sf: str) -> DataFrame:
     events = log(spark, sf)
-    where = _as_files(spark, events, "txn_ordinal")
     state = VersionedTable(spark, fresh_dir(spark, "state"), _KEY, buckets=4)
     state.start(seed(spark, sf))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(where)
-    apply_stream(stream, state, _KEY, fresh_dir(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    progress = fresh_dir(spark, "progress")
+    _run_arrivals(spark, events, "txn_ordinal", lambda stream: apply_stream(stream, state, _KEY, progress))
     return state.latest()
 
 
 @query(_RECONCILED)
 def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
-    """Watermarks, chunk reads and changes in one log of six files, so that windows straddle micro-batches."""
+    """Watermarks, chunk reads and changes in one log of six arrivals, so that windows straddle micro-batches."""
     changes = _changes(spark, sf)
     windows, late = _windows(changes), F.lit(1 << 40)
     text = F.to_json("row")
@@ -247,9 +259,8 @@ def stream_reconcile(spark: SparkSession, sf: str) -> DataFrame:
         .unionByName(windows.select("chunk_id", F.col("low").alias("at"), late.alias("part"), F.lit("low").alias("kind"), none.alias("key"), F.lit(None).cast("boolean").alias("live"), none.alias("row")))
         .unionByName(windows.select("chunk_id", F.col("high").alias("at"), late.alias("part"), F.lit("high").alias("kind"), none.alias("key"), F.lit(None).cast("boolean").alias("live"), none.alias("row")))
     )
-    where, out = _as_files(spark, rows, "at"), fresh_dir(spark, "chunks")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    out, progress = fresh_dir(spark, "chunks"), fresh_dir(spark, "progress")
     with state_store(spark):
-        reconcile_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh_dir(spark, "progress")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        _run_arrivals(spark, rows, "at", lambda stream: reconcile_stream(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append"))
     found = spark.read.schema("chunk_id long, key string, row string").parquet(out)
     return found.select("chunk_id", F.from_json("row", "user_id long, event_type string, value double").alias("r")).select("chunk_id", "r.*")

@@ -31,3 +31,14 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint: its rows and their partitions stay as they are."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def move(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder below the shared one; whether it was there."""
+    at, to = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return False
+    if not files.rename(at, to):
+        raise OSError(f"{source} can't be renamed to {target}")
+    return True

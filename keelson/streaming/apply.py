@@ -172,24 +172,53 @@ class _Chunk(StatefulProcessor):
         self.open = handle.getValueState("open", "low long, held boolean")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        inputs = pd.concat(list(rows)).sort_values(["at", "part"], kind="stable")
-        out = []
-        for r in inputs.itertuples():
-            if r.kind == "low":
-                self.open.update((int(r.at), True))
-            elif not self.open.exists():
-                continue
-            elif r.kind == "high":
-                out += [(key[0], k[0], v[3]) for k, v in self.rows.iterator() if v[2]]
-                self.rows.clear()
-                self.open.clear()
-            else:
-                # a read counts as of before all changes, wherever it stands between the watermarks
-                at, part = (-1, 0) if r.kind == "read" else (int(r.at), int(r.part))
-                old = self.rows.getValue((r.key,)) if self.rows.containsKey((r.key,)) else None
-                if old is None or (old[0], old[1]) < (at, part):
-                    self.rows.updateValue((r.key,), (at, part, bool(r.live), r.row))
-        yield pd.DataFrame(out, columns=["chunk_id", "key", "row"]).astype({"chunk_id": "int64"})
+        """The state is asked once for whether the chunk is open, then by key for what stays open over micro-batches alone: each call is a
+        message to the JVM, so none is made for a row."""
+        inputs, held = pd.concat(list(rows)), self.open.exists()
+        kinds = inputs["kind"]
+        if not held and not (kinds == "low").any():
+            return
+        inputs = inputs.sort_values(["at", "part"], kind="stable", ignore_index=True)
+        # stored: whether the state may have rows; low: that of this micro-batch's last low watermark, if it is open still
+        is_open, stored, low, now, out, begin = held, held, None, {}, [], 0
+        for i in [*inputs.index[inputs["kind"].isin(["low", "high"])], len(inputs)]:
+            if is_open:
+                self._fold(now, inputs.iloc[begin:i])
+            begin = i + 1
+            if i == len(inputs):
+                break
+            if inputs["kind"].iat[i] == "low":
+                is_open, low = True, int(inputs["at"].iat[i])
+            elif is_open:
+                if stored:
+                    for (k,), old in self.rows.iterator():
+                        if k not in now or not self._later(old, now[k]):
+                            now[k] = tuple(old)
+                    self.rows.clear()
+                out += [(key[0], k, row) for k, (_, _, live, row) in now.items() if live]
+                is_open, stored, low, now = False, False, None, {}
+        if is_open:
+            for k, new in now.items():
+                if not stored or not self.rows.containsKey((k,)) or self._later(self.rows.getValue((k,)), new):
+                    self.rows.updateValue((k,), new)
+            if low is not None:
+                self.open.update((low, True))
+        elif held:
+            self.open.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["chunk_id", "key", "row"]).astype({"chunk_id": "int64"})
+
+    @staticmethod
+    def _later(old: tuple, new: tuple) -> bool:
+        return (old[0], old[1]) < (new[0], new[1])
+
+    def _fold(self, now: dict[str, tuple], inputs: pd.DataFrame) -> None:
+        """The last change of each key into now; of equal places the first counts."""
+        for at, part, kind, k, live, row in zip(*(inputs[c] for c in ("at", "part", "kind", "key", "live", "row"))):
+            # a read counts as of before all changes, wherever it stands between the watermarks
+            new = (-1, 0, bool(live), row) if kind == "read" else (int(at), int(part), bool(live), row)
+            if k not in now or self._later(now[k], new):
+                now[k] = new
 
     def close(self) -> None:
         pass
